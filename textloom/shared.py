@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; one is made only where that
-    is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the folder of ``spark.checkpoint.dir``; makes one only where that is unset, as in tests."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder's path beside the checkpoints, for tables that later stages read."""
+    context = spark.sparkContext
+    ensure_checkpoint_dir(spark)
+    return f"{context._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
