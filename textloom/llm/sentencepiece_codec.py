@@ -125,16 +125,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids array<int>, decoded: each text's ids and what they decode to."""
+def encode_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, lossless (decoding gave the text back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in runs_of_rows(batches):
-            ids = [c.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            texts = batch.column("text").to_pylist()
+            ids = [c.encode(t) for t in texts]
+            same = [c.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
