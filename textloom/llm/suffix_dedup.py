@@ -45,7 +45,7 @@ ANCHOR = 20
 #: Longer texts are hashed in pieces that overlap by a window.
 PIECE = 1_000_000
 #: Text bytes whose anchors are combined before they travel, and those behind one bucket.
-BATCH, BUCKET = 24_000_000, 16_000_000
+BATCH, BUCKET = 12_000_000, 5_000_000
 BITS = 24
 POSITION = np.uint64((1 << BITS) - 1)
 
@@ -129,7 +129,7 @@ def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anch
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             part = slice(cut[b], cut[b + 1])
-            yield b, pack(ids[part], start[part], n[part], gram[part], stretch[part])
+            yield b, pack(ids[part], start[part].astype(np.uint32), n[part], gram[part], stretch[part])
 
     for batch in runs_of_rows(batches):
         keep = batch.column("doc_id").is_valid()
@@ -154,7 +154,7 @@ def settle(blobs: list[bytes], length: int) -> Iterator[tuple[str, bytes]]:
     size = np.diff(np.append(np.flatnonzero(head), len(head)))
     order = order[np.repeat(size > 1, size)]  # anchors that stand once are done
     order = order[np.lexsort((ids[order], stretch[order], gram[order]))]
-    ids, start, stop, gram, stretch = ids[order], start[order], start[order] + n[order].astype(np.int64) + length, gram[order], stretch[order]
+    ids, start, stop, gram, stretch = ids[order], start[order].astype(np.int64), start[order] + n[order].astype(np.int64) + length, gram[order], stretch[order]
     if not len(ids):
         return
     head = heads(gram, stretch)
