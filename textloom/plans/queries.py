@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words as W
+from ..graph import paths
 from ..graph.components import connected_components
 from ..graph.ranks import degrees, hits, pagerank
-from ..operators import factor, stats, tensor, text, vectors
+from ..operators import entities, factor, hierarchy, stats, tensor, text, vectors
+from ..shared import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -382,3 +385,170 @@ def rank_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     cells = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("i"), F.expr("5 * (month(o_orderdate) - 1) + ascii(c_mktsegment) % 5").alias("j")).agg(F.count("*").cast("double").alias("v"))
     return factor.select_rank(cells, ranks=[2, 3, 4, 5], perturbations=6, rounds=100)
+
+
+NATIONS = (
+    "nat AS (SELECT c_nationkey AS i, s_nationkey AS j, count(*) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL), "
+    "e AS (SELECT i AS src, j AS dst, v AS weight FROM nat WHERE v >= 1.3::DOUBLE * (SELECT sum(v)::DOUBLE / count(*) FROM nat)), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), one AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)"
+)
+REACH = "walk AS (SELECT node AS source, node, 0 AS d FROM nodes UNION SELECT source, dst, d + 1 FROM walk JOIN one ON src = node WHERE d < 24), dist AS (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL)"
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer nations to supplier nations, where lines are 1.3 times the mean or more."""
+    lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers, suppliers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    joined = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("c_custkey") == F.col("o_custkey")).join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
+    cells = checkpointed(joined.groupBy(F.col("c_nationkey").alias("i"), F.col("s_nationkey").alias("j")).agg(F.count("*").alias("v")))
+    total, n = cells.agg(F.sum("v"), F.count("*")).first()
+    return paths.strong_edges(cells, 1.3 * (total / n))
+
+
+@query(f"WITH RECURSIVE {NATIONS}, {REACH}, s AS (SELECT node, count(*) AS r, sum(d) AS t FROM dist WHERE d > 0 GROUP BY ALL) SELECT node, round(coalesce(r / t * r / ((SELECT count(*) FROM nodes) - 1), 0), 9) AS closeness FROM nodes LEFT JOIN s USING (node)")
+def graph_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.closeness(trade(spark, sf_dir)).withColumn("closeness", F.round("closeness", 9))
+
+
+@query(
+    f"WITH RECURSIVE {NATIONS}, {REACH}, k0 AS (SELECT node AS source, node, 1.0::DOUBLE AS c FROM nodes), " + ", ".join(f"k{i} AS (SELECT source, dst AS node, sum(c) AS c FROM k{i - 1} JOIN one ON src = node GROUP BY ALL)" for i in range(1, 13)) + ", "
+    "k AS (" + " UNION ALL ".join(f"SELECT source, node, c, {i} AS d FROM k{i}" for i in range(13)) + "), p AS (SELECT source, node, d, c FROM dist JOIN k USING (source, node, d)), "
+    "b AS (SELECT x.node, sum(x.c * y.c / z.c) AS b FROM p x JOIN p y ON y.source = x.node JOIN p z ON z.source = x.source AND z.node = y.node AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY ALL) "
+    "SELECT node, round(coalesce(b, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 9) AS betweenness FROM nodes LEFT JOIN b USING (node)"
+)
+def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.betweenness(trade(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 9))
+
+
+@query(f"WITH RECURSIVE {NATIONS}, r AS (SELECT node AS a, node AS b FROM nodes UNION SELECT a, dst FROM r JOIN one ON src = b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY ALL")
+def graph_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.strong_components(trade(spark, sf_dir))
+
+
+@query(f"WITH {NATIONS}, c AS (SELECT 1 AS node), inside AS (SELECT node FROM c UNION SELECT dst FROM e JOIN c ON src = node) SELECT src, dst, weight FROM e WHERE src IN (FROM inside) AND dst IN (FROM inside)")
+def graph_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = trade(spark, sf_dir)
+    return paths.ego(edges, edges.select(F.lit(1).cast("long").alias("node")).distinct())
+
+
+ACRONYM_SQL = " UNION ".join(
+    f"SELECT doc_id, {word} AS acronym, {' || chr(32) || '.join(f'l{k}' for k in run)} AS expansion FROM l WHERE l{n} IS NOT NULL AND {word} = {' || '.join(f'l{k}[1]' for k in run)}"
+    for n in range(2, 8)
+    for word, run in (("l0", range(1, n + 1)), (f"l{n}", range(n)))
+)
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {LOW} AS w FROM documents)), l AS (SELECT doc_id, token AS l0, {', '.join(f'lead(token, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS l{k}' for k in range(1, 8))} FROM t) {ACRONYM_SQL}")
+def acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", T.lower_tokens(F.col("text")).alias("words"))  # a column, so that each text is split once
+    return words.select("doc_id", F.inline(W.acronyms(F.col("words"))))
+
+
+#: Fixed values used by the query and its SQL: terms with what stands in their place.
+SUBSTITUTIONS = {"apache license": "apache_license", "public license": "public_license", "the": "_the_", "of": "of"}
+
+
+@query(
+    "WITH d AS (SELECT doc_id, '  ' || regexp_replace(text, '(\\s)', '\\1\\1', 'g') || '  ' AS t FROM documents), r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(\\s)apache  license(\\s)', '\\1apache_license\\2', 'g'), '(\\s)public  license(\\s)', '\\1public_license\\2', 'g'), '(\\s)the(\\s)', '\\1_the_\\2', 'g') AS t FROM d), "
+    "c AS (SELECT doc_id, regexp_replace(t, '(\\s)\\s', '\\1', 'g') AS t FROM r) SELECT doc_id, md5(t[2:-2]) AS digest FROM c"
+)
+def substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(W.substitute(SUBSTITUTIONS)(F.col("text"))).alias("digest"))
+
+
+STEM_SQL = "CASE " + " ".join(f"WHEN ends_with(token, '{e}') AND length(token) >= {len(e) + 3} THEN token[:length(token) - {len(e)}] || '{n}'" for e, n in W.ENDINGS) + " ELSE token END"
+
+
+@query(f"WITH {POSTINGS}, w AS (SELECT token, sum(tf) AS tf FROM p WHERE regexp_matches(token, '^[a-z]+$') GROUP BY ALL), s AS (SELECT *, {STEM_SQL} AS stem FROM w) SELECT stem, count(*) AS n_words, sum(tf)::BIGINT AS tf, arg_min(token, (length(token), token)) AS shortest FROM s GROUP BY ALL")
+def stem_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = text.postings(table(spark, sf_dir, "documents")).where(F.col("token").rlike("^[a-z]+$")).groupBy("token").agg(F.sum("tf").alias("tf"))
+    return words.groupBy(W.stem(F.col("token")).alias("stem")).agg(F.count("*").alias("n_words"), F.sum("tf").alias("tf"), F.min_by("token", F.struct(F.length("token"), F.col("token"))).alias("shortest"))
+
+
+def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper, id, name: suppliers as authors of orders."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("id")).distinct().join(suppliers, "id").select("paper", "id", "name")
+
+
+KEY = "array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')), ' ')"
+
+
+@query("SELECT DISTINCT l_suppkey::VARCHAR AS id, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")
+def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = authorships(spark, sf_dir).groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("x"))
+    joined = lists.select("paper", F.array_join(F.col("x.id").cast("array<string>"), ";").alias("author_ids"), F.array_join("x.name", "; ").alias("authors"))
+    return entities.id_names(joined)
+
+
+@query(
+    f"WITH a AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS id, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), l AS (SELECT paper, id AS left_id, {KEY.format('name')} AS x FROM a), r AS (SELECT paper, id + 100000 AS right_id, {KEY.format("substr(name, 10) || ', SUPPLIER'")} AS y FROM a WHERE paper % 3 > 0), "
+    "c AS (SELECT left_id, right_id, count(DISTINCT paper) AS papers, max(1 - levenshtein(x, y) / greatest(length(x), length(y))) AS similarity FROM l JOIN r USING (paper) WHERE 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.8 GROUP BY ALL) "
+    "SELECT left_id, right_id, papers, similarity FROM c QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY papers DESC, similarity DESC, right_id) = 1"
+)
+def author_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = authorships(spark, sf_dir)
+    right = left.where("paper % 3 > 0").selectExpr("paper", "id + 100000 AS id", "substr(name, 10) || ', SUPPLIER' AS name")
+    return entities.match_authors(left, right)
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT l_orderkey AS paper, l_partkey AS id, p_name AS k FROM lineitem JOIN part ON p_partkey = l_partkey), o AS (SELECT DISTINCT x.id, x.k, y.id AS other FROM a x JOIN a y ON x.paper = y.paper AND x.id <> y.id), "
+    "s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM o x JOIN o y ON x.k = y.k AND x.other = y.other AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, shared FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id = s.a AND o.other = s.b)"
+)
+def author_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("id")).join(parts, "id")
+    return entities.possible_duplicates(rows)
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 7 AND y.c_mktsegment = x.c_mktsegment), f AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT c_custkey AS id, c_custkey AS seen FROM customer UNION SELECT id, b FROM w JOIN f ON a = seen), "
+    "u AS (SELECT id, min(seen) AS unified FROM w GROUP BY ALL), n AS (SELECT unified, arg_min(c_name, (-length(c_name), c_name)) AS name FROM u JOIN customer ON c_custkey = id GROUP BY ALL) SELECT id, unified, name FROM u JOIN n USING (unified)"
+)
+def author_unified_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_mktsegment AS s")
+    pairs = customers.selectExpr("id AS a", "id + 7 AS b", "s").join(customers.selectExpr("id AS b", "s"), ["b", "s"])
+    return entities.unified_ids(pairs, customers.select("id", "name"))
+
+
+@query("SELECT l_suppkey AS id, c_nationkey AS affiliation, min(year(o_orderdate)) AS first_seen, max(year(o_orderdate)) AS last_seen, count(DISTINCT o_orderkey) AS papers FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL")
+def author_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper"), "o_custkey", F.year("o_orderdate").alias("year"))
+    nations = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("affiliation"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("id"))
+    return entities.affiliations(lines.join(orders, "paper").join(nations, "o_custkey"))
+
+
+LABELS = "(c_custkey // (run + 1)) % 4"
+
+
+@query(f"WITH l AS (SELECT run, c_custkey AS i, {LABELS} AS label FROM customer, range(5) r(run)), p AS (SELECT i, list(label ORDER BY run) AS v FROM l GROUP BY ALL), s AS (SELECT list_sum(list_transform(range(1, 6), lambda k: (x.v[k] = y.v[k])::INT)) / 5 AS together FROM p x JOIN p y ON x.i < y.i) SELECT round(together, 6) AS together, count(*) AS pairs FROM s GROUP BY ALL")
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run"))
+    return hierarchy.co_assignment(runs.select("run", "i", F.expr("(i div (run + 1)) % 4").alias("label"))).withColumn("together", F.round("together", 6))
+
+
+@query()
+def topic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the leaf of a two-level topic tree."""
+    cells = tensor.tf_idf(table(spark, sf_dir, "documents"), 20, 0.5).selectExpr("doc_id AS i", "token AS j", "weight AS v")
+    return hierarchy.topic_tree(cells, rank=3, depth=2, least=30, rounds=8).select(F.col("i").alias("doc_id"), "node")
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """i, j, v: quantities that suppliers sold of part groups."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 97).alias("j")).agg(F.avg(F.col("l_quantity").cast("double")).alias("v"))
+
+
+@query()
+def rating_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed and modelled quantities by supplier and part group."""
+    cells = ratings(spark, sf_dir)
+    return hierarchy.predict_ratings(cells, *hierarchy.recommender(cells, rank=3, rounds=6))
+
+
+@query()
+def logistic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Biases of suppliers in a model of quantities above 25."""
+    cells = ratings(spark, sf_dir).withColumn("v", (F.col("v") > 25).cast("int"))
+    return hierarchy.logistic_factors(cells, rank=2, rounds=6)[0].select(F.col("i").alias("supplier"), F.col("bu").alias("bias"))
