@@ -12,7 +12,7 @@ from ..functions import words as W
 from ..graph import paths
 from ..graph.components import connected_components
 from ..graph.ranks import degrees, hits, pagerank
-from ..operators import entities, factor, hierarchy, stats, tensor, text, vectors
+from ..operators import entities, factor, hierarchy, stats, tensor, text, triplets, vectors
 from ..shared import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,3 +552,38 @@ def logistic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Biases of suppliers in a model of quantities above 25."""
     cells = ratings(spark, sf_dir).withColumn("v", (F.col("v") > 25).cast("int"))
     return hierarchy.logistic_factors(cells, rank=2, rounds=6)[0].select(F.col("i").alias("supplier"), F.col("bu").alias("bias"))
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey::VARCHAR AS head, 'order' AS head_type, 'placed_by' AS relation, o_custkey::VARCHAR AS tail, 'customer' AS tail_type, o_totalprice::DOUBLE AS weight FROM orders "
+    "UNION ALL SELECT o_custkey::VARCHAR, 'customer', 'asks_for', o_orderpriority, 'priority', 1 FROM orders "
+    "UNION ALL SELECT o_orderkey::VARCHAR, 'order', 'made_in', year(o_orderdate)::VARCHAR, 'year', 1 FROM orders) "
+    "SELECT head, head_type, relation, tail, tail_type, round(sum(weight), 2) AS weight FROM t GROUP BY ALL"
+)
+def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, customers, priorities and years as triplets."""
+    relations = [
+        triplets.Relation("placed_by", "o_orderkey", "order", "o_custkey", "customer", weight="o_totalprice"),
+        triplets.Relation("asks_for", "o_custkey", "customer", "o_orderpriority", "priority"),
+        triplets.Relation("made_in", "o_orderkey", "order", "year(o_orderdate)", "year"),
+    ]
+    return triplets.edges_of(triplets.triplets(table(spark, sf_dir, "orders"), relations)).withColumn("weight", F.round("weight", 2))
+
+
+@query("WITH n AS (SELECT DISTINCT c_custkey::VARCHAR AS id, 'customer' AS type, c_mktsegment AS segment FROM customer UNION SELECT DISTINCT c_nationkey::VARCHAR, 'nation', NULL FROM customer) SELECT * FROM n")
+def knowledge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the graph of customers and nations, with the segment that customers carry."""
+    lives = triplets.Relation("lives_in", "c_custkey", "customer", "c_nationkey", "nation", head_attributes={"segment": "c_mktsegment"})
+    nodes = triplets.nodes_of(triplets.triplets(table(spark, sf_dir, "customer"), [lives]))
+    return nodes.select("id", "type", F.col("attributes")["segment"].alias("segment"))
+
+
+@query()
+def joint_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in topics common to the nations they deliver to and the part groups they deliver."""
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey")
+    nations = lines.join(orders, "l_orderkey").groupBy(F.col("l_suppkey").alias("i"), F.col("c_nationkey").alias("j")).agg(F.count("*").cast("double").alias("v"))
+    groups = lines.groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 97).alias("j")).agg(F.count("*").cast("double").alias("v"))
+    w, _ = factor.joint_nmf({"nations": nations, "groups": groups}, {"nations": 2, "groups": 2}, rank=2, rounds=4)
+    return w.select(F.col("i").alias("supplier"), hierarchy.strongest(F.col("w")).alias("topic"))
