@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, quality_rules, sentencepiece_codec, simhash, suffix_dedup
+from textloom.llm import decontaminate, near_copies, quality_rules, sentencepiece_codec, suffix_dedup
 from textloom.llm.queries import PIECES
 from textloom.shared import stage_folder
 
@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return simhash.one_of_each_group(docs)
+    """Of each group of texts that share 0.8 or more of their five-word shingles the smallest doc_id stays."""
+    return near_copies.one_of_each_group(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

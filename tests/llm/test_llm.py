@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from oracle import SMALL, assert_same
 
-from textloom.llm import chat_format, decontaminate, license_scan, ppm_score, quality_classifier, quality_rules, queries, sentencepiece_codec, simhash, suffix_dedup, token_counts
+from textloom.llm import chat_format, decontaminate, license_scan, near_copies, ppm_score, quality_classifier, quality_rules, queries, sentencepiece_codec, simhash, suffix_dedup, token_counts
 
 LONG = " ".join(f"w{i * 7919 % 613} the" for i in range(9000))
 PASSAGE = "a passage of more than fifty bytes that stands in several of these texts, é and all"
@@ -122,6 +122,52 @@ def test_simhash_groups(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_groups(rows):
+    """Smallest doc_id of the texts that pairs of Jaccard similarity 0.8 or more over five-word shingles join."""
+    sets, up = {}, {}
+    for i, t in rows:
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", t.encode().lower()) if w]
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        up[i] = i
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return {i: top(i) for i in ids}
+
+
+def test_near_copies_equal_brute_force(spark, docs, none):
+    # near copies that digests of 3 bits miss, a chain, a crowd around it with outsiders, and a common line
+    base = [f"v{i * 7919 % 1009}" for i in range(120)]
+    made = [(100 + k, " ".join(base[: 120 - k] + [f"x{k}y{i}" for i in range(k)])) for k in range(24)]
+    made += [(200 + k, " ".join(base[k:] + [f"z{i}" for i in range(k)])) for k in range(0, 120, 4)]
+    made += [(300 + k, " ".join(base[:30] + [f"q{k % 20}w{i}" for i in range(9 - k % 3)])) for k in range(40)]
+    more = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string")).unionByName(more)
+    want = brute_groups([(i, t) for i, t in given(rows) if i is not None])
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(rows).collect()} == want
+    kept = sorted(r["doc_id"] for r in near_copies.one_of_each_group(rows).collect() if r["doc_id"] is not None)
+    assert kept == sorted(set(want.values())) and len(kept) < len(want)
+    assert near_copies.one_of_each_group(none).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    text = [f"v{i * 7919 % 1009}" for i in range(100)]
+    rows = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:95], "five", "other", "words", "stand", "here"]))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, SMALL).collect()] == [1]
+
+
 def test_crowded_keys_link_like_pairs(spark):
     import random
 
