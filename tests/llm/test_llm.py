@@ -215,6 +215,38 @@ def test_repeats_equal_brute_force(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_wide_anchors_and_full_buckets(spark, docs):
+    import numpy as np
+
+    # 40 different stretches of one anchor are not for one task to compare
+    n = np.arange(40)
+    blob = suffix_dedup.pack(n, n.astype(np.uint32), np.full(40, 9, np.uint8), np.full(40, 7, np.uint64), n.astype(np.uint64))
+    assert [k for k, _ in suffix_dedup.settle([blob], 50, 39)] == ["windows"]
+    assert [k for k, _ in suffix_dedup.settle([blob], 50, 40)] == ["compare"]
+    assert [k for k, _ in suffix_dedup.settled([(0, blob), (0, blob), (1, blob)], 50, 40, 60)] == ["later", "later", "compare"]
+
+    # anchors are the least of 31 hashes; buckets are even all the same
+    least = np.random.default_rng(1).integers(0, 1 << 48, (20_000, 31)).min(axis=1).astype(np.uint64)
+    assert np.bincount(suffix_dedup.bucket_of(least, 20), minlength=20).max() < 1300
+
+    ends = [(2000 + i, f"{i * 7919} begins {PASSAGE} ends {i * 104729}" + "a" * (40 + i)) for i in range(60)]
+    more = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    both = docs.select("doc_id", "text").unionByName(more).unionByName(spark.createDataFrame(ends, "doc_id long, text string")).repartition(5).localCheckpoint()
+    want = brute_repeats(given(both))
+    for wide, full in (3, 1 << 30), (1 << 30, 200), (3, 200):
+        spans = suffix_dedup.repeated_spans(both, wide=wide, full=full).collect()
+        gone = defaultdict(set)
+        for r in spans:
+            gone[r["doc_id"]] |= set(range(r["start"], r["stop"]))
+        found = Counter()
+        for i, t in given(both):
+            t = t.encode()
+            g = {k for k in gone[i] if k < len(t)}
+            kept = bytes(c for k, c in enumerate(t) if k not in g)
+            found[(i, len(t), len(g), sum(k - 1 not in g for k in g), hashlib.sha256(kept).hexdigest())] += 1
+        assert found == want
+
+
 def test_leaks_equal_brute_force(spark, docs, none):
     items = spark.createDataFrame([(1, PASSAGE), (2, "one"), (3, None), (4, ""), (5, "nothing of this stands anywhere at all"), (6, LONG)], "item_id long, text string")
     rows = decontaminate.find_items(docs, items).collect()

@@ -16,6 +16,10 @@ def pack(*columns: np.ndarray) -> bytes:
     return head + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
+def rows_in(data: bytes) -> int:
+    return struct.unpack_from("<Q", data)[0]
+
+
 def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 

@@ -16,6 +16,12 @@ smallest hash in them), so suffixes need to be compared only under a shared anch
 3. By anchor again, the suffixes of these stretches are sorted, and the windows whose
    longest earlier match has 50 bytes are removed.
 
+No task needs a whole anchor.  Where more than WIDE different stretches stand under
+one, their windows meet by hash instead (48 bits of the anchor, 64 of the window),
+one row of a window and batch, in sorted rows that are read as a stream.  A bucket of
+more than FULL stretches is not settled in memory either: its rows meet by stretch in
+the same way, and anchors with different stretches are found by aggregates.
+
 Anchors are dealt by hash and combined per batch first, so a passage that stands in
 very many documents costs each batch one row.
 
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, ids_and_texts, pieces_for, runs_of_rows, text_bytes
-from .packed import pack, unpack_all
+from .packed import pack, rows_in, unpack_all
 from .rolling import RangeHashes
 
 LENGTH = 50
@@ -46,6 +52,8 @@ ANCHOR = 20
 PIECE = 1_000_000
 #: Text bytes whose anchors are combined before they travel, and those behind one bucket.
 BATCH, BUCKET = 12_000_000, 5_000_000
+#: Different stretches of one anchor that are compared in one task, and stretches of one bucket that are held at once.
+WIDE, FULL = 20_000, 2_000_000
 BITS = 24
 POSITION = np.uint64((1 << BITS) - 1)
 
@@ -112,6 +120,11 @@ def first_of_run(head: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(head)[np.cumsum(head) - 1]]
 
 
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors have the smallest hashes of their windows, so these are mixed before they are dealt."""
+    return ((gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+
 def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anchor: int) -> Iterator[tuple[int, bytes]]:
     """Packed stretches by bucket; what the batch itself shows to be removed has bucket -1."""
     found, size = [], 0
@@ -125,7 +138,9 @@ def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anch
         if gone.any():
             yield -1, pack(ids[gone], start[gone], last[gone] + length)
         ids, start, n, gram, stretch = (x[~gone] for x in (ids, start, (last - start).astype(np.uint8), gram, stretch))
-        bucket = ((gram >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        bucket = bucket_of(gram, buckets)
+        order = np.argsort(bucket, kind="stable")
+        ids, start, n, gram, stretch, bucket = (x[order] for x in (ids, start, n, gram, stretch, bucket))
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             part = slice(cut[b], cut[b + 1])
@@ -146,8 +161,8 @@ def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anch
         yield from flush()
 
 
-def settle(blobs: list[bytes], length: int) -> Iterator[tuple[str, bytes]]:
-    """Of one bucket: packed spans to remove, and the stretches whose bytes are needed."""
+def settle(blobs: list[bytes], length: int, wide: int = WIDE) -> Iterator[tuple[str, bytes]]:
+    """Of one bucket: packed spans to remove, and the stretches whose bytes (under wide anchors: windows) are needed."""
     ids, start, n, gram, stretch = unpack_all(blobs)
     order = np.argsort(gram, kind="stable")
     head = heads(gram[order])
@@ -165,8 +180,73 @@ def settle(blobs: list[bytes], length: int) -> Iterator[tuple[str, bytes]]:
     group = heads(gram)
     at = np.flatnonzero(group)
     mixed = (np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at))[np.cumsum(group) - 1] & ~gone
-    if mixed.any():
-        yield "compare", pack(ids[mixed], start[mixed], stop[mixed], gram[mixed])
+    large = (np.add.reduceat((~gone).astype(np.int64), at) > wide)[np.cumsum(group) - 1]
+    for kind, rows in ("compare", mixed & ~large), ("windows", mixed & large):
+        if rows.any():
+            yield kind, pack(ids[rows], start[rows], stop[rows], gram[rows])
+
+
+def settled(rows: Iterator[tuple[int, bytes]], length: int, wide: int, full: int) -> Iterator[tuple[str, bytes]]:
+    """``settle`` for each bucket of rows sorted by bucket; stretches of a bucket with more than ``full`` come as they are."""
+    now, held, n = None, [], 0
+    for bucket, data in rows:
+        if bucket < 0:
+            yield "remove", data
+            continue
+        if bucket != now:
+            if held:
+                yield from settle(held, length, wide)
+            now, held, n = bucket, [], 0
+        held.append(data)
+        n += rows_in(data)
+        if n > full:
+            yield from (("later", b) for b in held)
+            held = []
+    if held:
+        yield from settle(held, length, wide)
+
+
+def with_least(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` (longs, doc_id among them) and ``least``, the smallest doc_id of equal keys."""
+    schema = f"{', '.join(f'{c} long' for c in rows.columns)}, least long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy() for k in keys]
+            ids = batch.column("doc_id").to_numpy()
+            head = heads(*columns)
+            found = first_of_run(head, ids).copy()
+            if last == [c[0] for c in columns]:  # the run goes on from the batch before
+                found[: np.append(np.flatnonzero(head), len(head))[1]] = least
+            last, least = [c[-1] for c in columns], found[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "least"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, schema)
+
+
+def windows_of(ids: np.ndarray, start: np.ndarray, gram: np.ndarray, texts: list[bytes], length: int) -> list[np.ndarray]:
+    """doc_id, first and last start, anchor, hash and smallest doc_id here of the windows of these stretches.
+
+    Rows of greater doc_ids are to be removed; consecutive windows with one hash are one row.
+    """
+    size = np.array([len(t) for t in texts])
+    windows = size - length + 1
+    number = np.repeat(np.arange(len(ids)), windows)
+    offset = np.arange(len(number)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = (np.cumsum(size) - size)[number] + offset
+    value = RangeHashes(np.frombuffer(b"".join(texts), np.uint8)).of(at, at + length)
+    ids, start, gram = ids[number], start[number] + offset, gram[number]
+    order = np.lexsort((start, ids, value, gram))
+    ids, start, gram, value = ids[order], start[order], gram[order], value[order].view(np.int64)
+    least = first_of_run(heads(gram, value), ids)
+    head = heads(gram, value, ids)
+    head[1:] |= np.diff(start) > 1
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(head)) - 1
+    return [ids[first], start[first], start[last], gram[first], value[first], least[first]]
 
 
 def earlier_matches(ids: np.ndarray, gram: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +307,7 @@ def binary_rows(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wide: int = WIDE, full: int = FULL) -> DataFrame:
     """doc_id, start, stop: byte spans that cover exactly what is to be removed; they may overlap."""
     docs = ids_and_texts(docs)
     buckets = pieces_for(text_bytes(docs), BUCKET)
@@ -238,14 +318,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         return binary_rows(stretches(batches, buckets, length, anchor), keyed)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for bucket, (blobs,) in by_bucket(batches, "data"):
-                if bucket < 0:
-                    yield from (("remove", b) for b in blobs)
-                else:
-                    yield from settle(blobs, length)
-
-        return binary_rows(rows(), kinds)
+        rows = (row for b in batches for row in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True))
+        return binary_rows(settled(rows, length, wide, full), kinds)
 
     placed = docs.mapInArrow(put, "bucket long, data binary")
     spread = F.when(F.col("bucket") < 0, F.abs(F.xxhash64("data")) % buckets).otherwise(F.col("bucket"))
@@ -276,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 texts = [t.encode() for t in batch.column("text").to_pylist()]
                 part = [texts[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)]
                 size = np.array([len(p) for p in part], np.int32)
-                bucket = ((gram.astype(np.uint64) >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+                bucket = bucket_of(gram.astype(np.uint64), buckets)
                 ids, order = batch.column("doc_id").to_numpy(), np.argsort(bucket, kind="stable")
                 order = order[size[order] >= length]
                 for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
@@ -291,7 +365,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     fetched = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left").mapInArrow(fetch, "bucket long, data binary, bytes binary")
     matched = fetched.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start long, stop long")
-    return removed.unionByName(matched)
+    out = removed.unionByName(matched)
+
+    seen = {r["kind"] for r in met.select("kind").distinct().collect()}
+    held = met.where("kind = 'windows'").select("data").mapInArrow(expand(["doc_id", "start", "stop", "gram"]), "doc_id long, start long, stop long, gram long")
+    if "later" in seen:
+        later = met.where("kind = 'later'").select("data").mapInArrow(expand(["doc_id", "start", "n", "gram", "stretch"]), "doc_id long, start long, n long, gram long, stretch long")
+        later = checkpointed(with_least(later, "gram", "stretch").withColumn("stop", F.col("start") + F.col("n") + length))
+        out = out.unionByName(later.where("doc_id > least").select("doc_id", "start", "stop"))
+        mixed = later.groupBy("gram").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("gram")
+        held = held.unionByName(later.where("doc_id = least").join(mixed, "gram", "left_semi").select("doc_id", "start", "stop", "gram"))
+    if not seen & {"windows", "later"}:
+        return out
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_of_rows(batches):
+            want = batch.column("held")
+            row = np.repeat(np.arange(batch.num_rows), want.value_lengths().to_numpy(zero_copy_only=False))
+            start, stop, gram = (want.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            part = [texts[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)]
+            there = np.flatnonzero(np.array([len(p) for p in part]) >= length)
+            if len(there):
+                ids = batch.column("doc_id").to_numpy()[row]
+                found = windows_of(ids[there], start[there], gram[there], [part[i] for i in there.tolist()], length)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["doc_id", "start", "last", "gram", "window", "here"])
+
+    by_doc = held.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "gram")).alias("held"))
+    spread_out = docs.join(by_doc.hint("shuffle_hash"), "doc_id").mapInArrow(unfold, "doc_id long, start long, last long, gram long, window long, here long")
+    spread_out = checkpointed(spread_out)
+    span = ["doc_id", "start", (F.col("last") + length).alias("stop")]
+    out = out.unionByName(spread_out.where("doc_id > here").select(*span))
+    return out.unionByName(with_least(spread_out.where("doc_id = here").drop("here"), "gram", "window").where("doc_id > least").select(*span))
 
 
 def covered(spans: pa.Array, sizes: list[int]) -> Iterator[np.ndarray]:
