@@ -160,6 +160,13 @@ def test_near_copies_equal_brute_force(spark, docs, none):
     assert near_copies.one_of_each_group(none).count() == 0
 
 
+def test_rows_that_share_a_doc_id_but_not_the_text_stay(spark):
+    rows = [(1, "one text of some words here", "a"), (1, "another that has nothing in common", "b"), (2, "one text of some words here", "c"), (1, "one text of some words here", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(tuple, near_copies.one_of_each_group(docs.repartition(n)).collect())) for n in (1, 3)]
+    assert kept[0] == kept[1] and sorted((i, t) for i, t, _ in kept[0]) == sorted({r[:2] for r in rows[:2]})
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph.components import connected_components
-from .common import checkpointed, ids_and_texts, runs_of_rows
+from .common import checkpointed, runs_of_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -81,7 +81,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n (shingles of its set), prefix (the first shingles in the global order)."""
+    """doc_id, row_hash, class, n (shingles of its set), prefix (the first shingles in the global order)."""
     common, count = common_shingles(docs)
 
     def prefix(s: np.ndarray) -> np.ndarray:
@@ -98,9 +98,9 @@ def with_prefixes(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
             keys = pa.array([class_key(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "class", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), keys, pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "row_hash", "class", "n", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, class long, n int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, row_hash long, class long, n int, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -175,20 +175,31 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found if more.isEmpty() else found.unionByName(verified(more, docs, classes))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id (smallest doc_id that links of similar texts reach), for rows with doc_id."""
-    docs = ids_and_texts(docs).where(F.col("doc_id").isNotNull())
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash (of all columns), component, component_id (its smallest doc_id), for rows with doc_id."""
+    given = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).where(F.col("doc_id").isNotNull())
+    docs = given.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "row_hash")
     prints = checkpointed(with_prefixes(docs))
     classes = checkpointed(prints.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     groups = connected_components(links(docs, classes), "a", "b", checkpointed).withColumnRenamed("node", "class")
     named = classes.select("class", "doc_id").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(smallest, "component").select("class", "component_id")
-    return prints.select("doc_id", "class").join(of, "class").select("doc_id", "component_id")
+    of = named.join(smallest, "component").select("class", "component", "component_id")
+    return prints.select("doc_id", "row_hash", "class").join(of, "class").select("doc_id", "row_hash", "component", "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that links of similar texts reach), for rows with doc_id."""
+    return grouped(docs).select("doc_id", "component_id")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest doc_id stays, rows without doc_id too."""
-    keep = near_copies(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` without near copies: one row of each group and all rows without doc_id stay.
+
+    Of a group the row with the smallest doc_id stays; of rows that share it, the one
+    with the smallest XXH64 (seed 42) of all columns.  Rows that share a doc_id but have
+    no similar texts are in different groups, and each stays.
+    """
+    keep = grouped(docs).groupBy("component").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")).select("first.*").distinct()
+    known = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).join(keep, ["doc_id", "row_hash"], "left_semi")
+    return known.dropDuplicates(["doc_id", "row_hash"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
