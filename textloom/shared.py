@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of ``spark.checkpoint.dir``; makes one only where that is unset, as in tests."""
+    """Uses the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose driver and executors are one process makes a
+    temporary folder; any other takes a folder in the warehouse, which all share.
+    """
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and context._jsc.sc().isLocal():
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -21,9 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-
 def stage_folder(spark: SparkSession) -> str:
     """A new folder's path beside the checkpoints, for tables that later stages read."""
     context = spark.sparkContext
     ensure_checkpoint_dir(spark)
     return f"{context._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``stage_folder`` named, with what is in it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
