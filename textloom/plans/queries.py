@@ -587,3 +587,6 @@ def joint_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = lines.groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 97).alias("j")).agg(F.count("*").cast("double").alias("v"))
     w, _ = factor.joint_nmf({"nations": nations, "groups": groups}, {"nations": 2, "groups": 2}, rank=2, rounds=4)
     return w.select(F.col("i").alias("supplier"), hierarchy.strongest(F.col("w")).alias("topic"))
+
+
+from . import search_queries  # noqa: E402,F401  (registers its queries)
