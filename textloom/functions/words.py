@@ -51,6 +51,38 @@ def substitute(pairs: dict[str, str]):
     return lambda c: reduce(lambda x, k: F.regexp_replace(x, rf"(?<!\S)\Q{k}\E(?!\S)", plain(pairs[k])), order, c)
 
 
+def expand_substitutions(pairs: dict[str, str], lemmas: dict[str, str] | None = None) -> dict[str, str]:
+    """The pairs with their keys in lower case, lemmatized, and with hyphens and spaces exchanged; keys that clash raise."""
+    out: dict[str, str] = {}
+
+    def put(key: str, value: str) -> None:
+        if out.setdefault(key, value) != value:
+            raise ValueError(f"{key!r} would be both {out[key]!r} and {value!r}")
+
+    for key, value in pairs.items():
+        low = key.lower()
+        lemma = " ".join((lemmas or {}).get(w, w) for w in low.split())
+        for form in dict.fromkeys([low, lemma]):
+            for variant in dict.fromkeys([form, form.replace("-", " "), form.replace(" ", "-")]):
+                put(variant, value)
+    return out
+
+
+def document_substitutions(text: Column, corpus: Column, own: Column, own_first: bool = True) -> Column:
+    """Whole words replaced in the order of a map for all documents and then one of the document's own.
+
+    Where both have a term the document's replacement holds, or the other without ``own_first``.
+    """
+    none = F.create_map().cast("map<string,string>")
+    first, second = (F.coalesce(m, none) for m in ((corpus, own) if own_first else (own, corpus)))
+    entries = F.concat(
+        F.transform(F.map_entries(first), lambda e: F.struct(e["key"].alias("key"), F.coalesce(second[e["key"]], e["value"]).alias("value"))),
+        F.filter(F.transform(F.map_entries(second), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), lambda e: ~F.map_contains_key(first, e["key"])),
+    )
+    literal = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.aggregate(entries, text, lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?U)\b\Q"), e["key"], F.lit(r"\E\b")), literal(e["value"])))
+
+
 def stem(word: Column, least: int = 3) -> Column:
     """The word with the first ending of ENDINGS that leaves ``least`` characters put right."""
     out = word

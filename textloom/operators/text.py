@@ -131,3 +131,16 @@ def near_words(docs: DataFrame, min_df: int, distance: int = 1, id_col: str = "d
     pairs = keyed.select("key", F.col("token").alias("a"), F.col("tf").alias("tf_a")).join(keyed.select("key", F.col("token").alias("b"), F.col("tf").alias("tf_b")), "key")
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.levenshtein("a", "b") <= distance))
     return pairs.select("a", "b", F.when(F.col("tf_a") > F.col("tf_b"), F.col("a")).otherwise(F.col("b")).alias("kept")).distinct()
+
+
+def term_rules(docs: DataFrame, top_n: int, min_df: int, least_docs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, support, n_docs: terms among the ``top_n`` of a document by tf-idf, and the words that stand in all documents where they are."""
+    n = docs.count()
+    per_doc = postings(docs, id_col, text_col)
+    words = per_doc.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    known = per_doc.join(words, "token").withColumn("raw", F.round(F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0), 9))
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("raw"), "token"))
+    top = known.withColumn("place", place).where(F.col("place") <= top_n).select(id_col, F.col("token").alias("term"))
+    often = top.groupBy("term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
+    beside = top.join(often, "term").join(known.select(id_col, F.col("token").alias("support")), id_col).where("term != support")
+    return beside.groupBy("term", "support", "n_docs").agg(F.count("*").alias("both")).where("both = n_docs").drop("both")

@@ -85,12 +85,12 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH a AS (SELECT doc_id, lower(translate(coalesce(text, ''), '‐‑‒–—―−﹘﹣－', '----------')) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\S*@\\S*\\s?', '', 'g'), '\\[[^\\]]*\\]', ' ', 'g'), '\\([^)]*\\)', ' ', 'g') AS t FROM a), "
+    "WITH a AS (SELECT doc_id, lower(translate(coalesce(text, ''), '‐‑‒–—―−﹘﹣－', '----------')) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\S*@\\S*\\s?', '', 'g'), '\\[.*?\\]', ' ', 'g'), '\\(.*?\\)', ' ', 'g') AS t FROM a), "
     "c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[!|\"#$%&''()*+,./:;<=>?@\\[\\]^_`{}~]', '', 'g'), '[^\\x00-\\x7F]+', '', 'g') AS t FROM b) "
     f"SELECT doc_id, nullif(trim(array_to_string(list_filter(string_split_regex(t, '\\s+'), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ({quoted(STOP_WORDS)})), ' ')), '') AS cleaned FROM c"
 )
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("remove_email", "remove_between_brackets", "remove_between_parentheses", "remove_special_characters", "remove_non_ascii")
+    names = ("remove_email", "remove_between_[]", "remove_between_()", "remove_special_characters", "remove_nonASCII")
     steps = [T.standardize_hyphens, F.lower, *map(T.pattern_step, names), T.drop_tokens(STOP_WORDS, 2, numbers=False)]
     return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text"), steps).alias("cleaned"))
 
@@ -589,4 +589,4 @@ def joint_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("i").alias("supplier"), hierarchy.strongest(F.col("w")).alias("topic"))
 
 
-from . import report_queries, search_queries  # noqa: E402,F401  (they register their queries)
+from . import clean_queries, report_queries, search_queries  # noqa: E402,F401  (they register their queries)
