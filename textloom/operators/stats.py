@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 
 def originator_stats(papers: DataFrame, key: str = "author") -> DataFrame:
     """key, year, paper_count, num_citations, attribution from rows (paper, key, year, citations).
@@ -52,13 +54,6 @@ def confusion_metrics(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return c.select(F.expr("(tp + tn) / n").alias("accuracy"), F.expr(both(p1, p0)).alias("precision"), F.expr(both(r1, r0)).alias("recall"), F.expr(both(f1, f0)).alias("f1"), F.expr(mcc).alias("mcc"))
 
 
-def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """auc from counts per different score: the chance that a positive scores above a negative, ties half."""
-    by = rows.groupBy(score).agg(F.sum(F.when(F.col(truth) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(truth) == 0, 1.0).otherwise(0.0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return by.select("p", "q", below.alias("below")).agg((F.sum(F.expr("p * (below + q / 2)")) / (F.sum("p") * F.sum("q"))).alias("auc"))
-
-
 def merge_prefer_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer merge; shared columns come from the left where it has them.  Null keys match nothing."""
     shared = [c for c in left.columns if c in right.columns and c != key]
@@ -95,9 +90,9 @@ def uniqueness(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def citation_hops(references: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """paper, hop: papers reached from the seeds (column paper) in so many citations, at their smallest hop."""
-    reached = seeds.select("paper").distinct().withColumn("hop", F.lit(0))
-    edge = reached
+    edge = checkpointed(seeds.select("paper").distinct().withColumn("hop", F.lit(0)))
+    reached = edge
     for h in range(1, hops + 1):
-        edge = edge.select("paper").join(references, "paper").select(F.col("cited").alias("paper")).distinct().join(reached, "paper", "left_anti").withColumn("hop", F.lit(h))
+        edge = checkpointed(edge.select("paper").join(references, "paper").select(F.col("cited").alias("paper")).distinct().join(reached, "paper", "left_anti").withColumn("hop", F.lit(h)))
         reached = reached.unionByName(edge)
     return reached

@@ -13,9 +13,17 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, F.explode(lower_tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
 
 
+def word_counts(docs: DataFrame, words: Column) -> DataFrame:
+    """word, tf, df of an array column: each row is one document, so one shuffle of map-side sums does."""
+    marked = F.concat(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(0).alias("first"))), F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(1).alias("first"))))
+    rows = docs.select(F.explode(marked).alias("x")).select("x.*")
+    return rows.groupBy("word").agg(F.sum(1 - F.col("first")).alias("tf"), F.sum("first").alias("df"))
+
+
 def inverted_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """token, n_docs, first_doc, last_doc."""
-    return postings(docs, id_col, text_col).groupBy("token").agg(F.count("*").alias("n_docs"), F.min(id_col).alias("first_doc"), F.max(id_col).alias("last_doc"))
+    """token, n_docs, first_doc, last_doc; each row is one document."""
+    once = docs.select(id_col, F.explode(F.array_distinct(lower_tokens(F.col(text_col)))).alias("token"))
+    return once.groupBy("token").agg(F.count("*").alias("n_docs"), F.min(id_col).alias("first_doc"), F.max(id_col).alias("last_doc"))
 
 
 def grams(c: Column, n: int) -> Column:
@@ -30,8 +38,7 @@ def grams(c: Column, n: int) -> Column:
 def top_words(docs: DataFrame, top_n: int = 100, n_gram: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """word, tf, df, df_fraction (of documents), tf_fraction (of different grams): the top_n by tf, ties by word."""
     tokens = lower_tokens(F.col(text_col)) if n_gram == 1 else grams(F.col(text_col), n_gram)
-    per_doc = docs.select(id_col, F.explode(tokens).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    words = per_doc.groupBy("word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    words = word_counts(docs, tokens)
     sizes = words.agg(F.count("*").alias("grams")).join(docs.agg(F.count("*").alias("docs")), how="inner", on=F.lit(True))
     top = words.orderBy(F.desc("tf"), "word").limit(top_n)
     return top.join(F.broadcast(sizes), F.lit(True)).select("word", "tf", "df", (F.col("df") / F.col("docs")).alias("df_fraction"), (F.col("tf") / F.col("grams")).alias("tf_fraction"))
@@ -89,11 +96,6 @@ def search(docs: DataFrame, any_of: list[list[str]], positives: list[str] = (),
     return docs.where(hit)
 
 
-def staged_search(title_hit: Column, title_negative: Column, title_positive: Column, abstract_hit: Column, abstract_negative: Column, abstract_positive: Column) -> Column:
-    """Dependents apply to title matches first, then, by the abstract, to all matches."""
-    return ((title_hit & ~title_negative & title_positive) | abstract_hit) & ~abstract_negative & abstract_positive
-
-
 def ordered_window(docs: DataFrame, words: list[str], window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids whose text has two words in this order within ``window`` tokens, by a band join on positions inside each document."""
     first, second = (w.lower() for w in words)
@@ -125,7 +127,7 @@ def near_words(docs: DataFrame, min_df: int, distance: int = 1, id_col: str = "d
     Words of equal length or one more are compared under their deletion variants, so
     pairs are never made by first letter alone.
     """
-    words = postings(docs, id_col, text_col).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where((F.col("df") >= min_df) & F.col("token").rlike("^[a-z]{2,}$"))
+    words = word_counts(docs, lower_tokens(F.col(text_col))).withColumnRenamed("word", "token").where((F.col("df") >= min_df) & F.col("token").rlike("^[a-z]{2,}$"))
     cut = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, F.length("token"))))
     keyed = words.select("token", "tf", F.explode(F.array_distinct(F.array_append(cut, F.col("token")))).alias("key"))
     pairs = keyed.select("key", F.col("token").alias("a"), F.col("tf").alias("tf_a")).join(keyed.select("key", F.col("token").alias("b"), F.col("tf").alias("tf_b")), "key")

@@ -34,36 +34,42 @@ def prune_by_reference(rows: DataFrame, is_reference: Column, deviations: float
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """query_id, id, similarity (cosine), place: the k nearest other rows of each query, ties by id.
+    """query_id, id, similarity (cosine), place: the k nearest other rows of each query, by similarity to 9 digits, ties by id.
 
-    Queries are taken in blocks of ``block`` vectors; each task keeps its own k best of each query.
+    Queries are taken in blocks of ``block`` vectors; each task keeps its own k best of each
+    query.  Null ids and vectors are left out; vectors without length have similarity 0.
     """
     spark = rows.sparkSession
+    there = lambda df: df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows, queries = there(rows), there(queries)
     blocks = max(1, -(-queries.count() // block))
-    out = None
+    out = spark.createDataFrame([], "query_id long, id long, similarity double")
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).select(id_col, vector).collect()
-        ids = np.array([r[0] for r in own], np.int64)
-        unit = np.array([r[1] for r in own], np.float64).reshape(len(own), -1)
+        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        if not own:
+            continue
+        ids = np.array([r["id"] for r in own], np.int64)
+        unit = np.array([r["v"] for r in own], np.float64)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
         shared = spark.sparkContext.broadcast((ids, unit))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, unit = shared.value
+            best, at = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
                     other = part.column(0).to_numpy()
-                    there = np.array(part.column(1).to_pylist(), np.float64)
-                    there /= np.maximum(np.linalg.norm(there, axis=1, keepdims=True), 1e-300)
-                    near = unit @ there.T
+                    vectors = np.array(part.column(1).to_pylist(), np.float64)
+                    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+                    near = np.round(unit @ vectors.T, 9)
                     near[ids[:, None] == other[None]] = -np.inf
-                    best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                    q, n = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-                    ok = np.isfinite(near[q, n])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q[ok]]), pa.array(other[n[ok]]), pa.array(near[q[ok], n[ok]])], ["query_id", "id", "similarity"])
-
-        part = rows.select(id_col, vector).mapInArrow(run, "query_id long, id long, similarity double") if len(own) else None
-        out = part if out is None else out.unionByName(part) if part is not None else out
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id"))
+                    both, names = np.hstack([best, near]), np.hstack([at, np.broadcast_to(other, near.shape)])
+                    order = np.lexsort((names, -both), axis=1)[:, :k]
+                    best, at = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+            q, ok = np.repeat(np.arange(len(ids)), best.shape[1]), np.isfinite(best.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[ok]]), pa.array(at.ravel()[ok]), pa.array(best.ravel()[ok])], ["query_id", "id", "similarity"])
+
+        out = out.unionByName(rows.mapInArrow(run, "query_id long, id long, similarity double"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return out.withColumn("place", place).where(F.col("place") <= k)

@@ -12,7 +12,7 @@ from ..functions import words as W
 from ..graph import paths
 from ..graph.components import connected_components
 from ..graph.ranks import degrees, hits, pagerank
-from ..operators import entities, factor, hierarchy, stats, tensor, text, triplets, vectors
+from ..operators import entities, factor, hierarchy, reports, stats, tensor, text, triplets, vectors
 from ..shared import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,14 +153,14 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COOC = (
-    f"{POSTINGS}, v AS (SELECT token FROM p GROUP BY ALL HAVING count(*) >= 300), t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {LOW} AS w FROM documents)), k AS (SELECT t.* FROM t JOIN v USING (token)), "
+    f"{POSTINGS}, v AS (SELECT token FROM p GROUP BY ALL HAVING count(*) >= 5 ORDER BY sum(tf) DESC, token LIMIT 200), t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {LOW} AS w FROM documents)), k AS (SELECT t.* FROM t JOIN v USING (token)), "
     "h AS (SELECT x.token AS a, y.token AS b FROM k x JOIN k y ON x.doc_id = y.doc_id AND y.i > x.i AND y.i <= x.i + 5), c AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM h UNION ALL SELECT b, a FROM h) GROUP BY ALL)"
 )
 
 
 def counted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return tensor.co_occurrence(docs, tensor.vocabulary(docs, 300), 5)
+    return tensor.co_occurrence(docs, tensor.vocabulary(docs, 5, max_features=200), 5)
 
 
 @query(f"WITH {COOC} SELECT * FROM c")
@@ -253,7 +253,7 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH s AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id)), b AS (SELECT n_chars, sum((quality = 1)::INT)::DOUBLE AS p, sum((quality = 0)::INT)::DOUBLE AS q FROM s GROUP BY ALL), c AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) SELECT sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auc FROM c")
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.roc_auc(rows, "quality", "n_chars")
+    return reports.curve_areas(rows, "quality", "n_chars").select(F.col("roc_auc").alias("auc"))
 
 
 @query("SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(c_name, s_name) AS name, coalesce(c_nationkey, s_nationkey) AS nation, c_mktsegment, s_acctbal::DOUBLE AS s_acctbal FROM (SELECT * FROM customer WHERE c_custkey % 3 > 0) FULL JOIN supplier ON c_custkey = s_suppkey")
@@ -589,4 +589,4 @@ def joint_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("i").alias("supplier"), hierarchy.strongest(F.col("w")).alias("topic"))
 
 
-from . import clean_queries, report_queries, search_queries  # noqa: E402,F401  (they register their queries)
+from . import clean_queries, matrix_queries, report_queries, search_queries  # noqa: E402,F401  (they register their queries)
