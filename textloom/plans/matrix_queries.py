@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..graph import ranks
 from ..graph.components import connected_components
-from ..operators import stats, tensor
+from ..operators import factor, stats, tensor
 from .queries import EDGES, LOW, NODES, PAPERS, POSTINGS, edges, hits_rounds, papers, query, rank_rounds, table
-from .report_queries import LINES, lines
+from .report_queries import FACTORS, LINES, lines
 
 
 @query(
@@ -131,3 +131,42 @@ def sized_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth customer points to one of nine; others stand alone."""
     links = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").selectExpr("c_custkey AS src", "c_custkey % 9 AS dst")
     return ranks.component_sizes(connected_components(links))
+
+
+def factor_start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells (i, j, v) of customers by suppliers, and factors of rank 3 to start from."""
+    orders = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    x = orders.groupBy((F.col("o_custkey") % 40).alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    w = x.select("i").distinct().select("i", F.array(*(1.0 + (F.col("i") * 3 + k) % 5 for k in range(3))).alias("w"))
+    h = x.select("j").distinct().select("j", F.array(*(2.0 + (F.col("j") + k * 7) % 11 for k in range(3))).alias("h"))
+    return x, w, h
+
+
+def factor_rows(w: DataFrame, h: DataFrame) -> DataFrame:
+    one = lambda df, key, name: df.select(F.lit(name).alias("side"), F.col(key).alias("key"), F.posexplode(name).alias("k", "value"))
+    return one(w, "i", "w").unionByName(one(h, "j", "h")).select("side", "key", F.col("k").cast("long").alias("k"), F.round("value", 6).alias("value"))
+
+
+GRAM_W = "SELECT a.k, b.k AS l, sum(a.w * b.w) AS g FROM w a JOIN w b ON a.\"row\" = b.\"row\" GROUP BY ALL"
+SIDES = "SELECT 'w' AS side, \"row\" AS key, k, round(w, 6) AS value FROM w1 UNION ALL SELECT 'h', col, k, round(h, 6) FROM h1"
+
+
+@query(
+    f"WITH {FACTORS}, gw AS ({GRAM_W}), up AS (SELECT k, col, sum(w * v) AS n FROM x JOIN w USING (\"row\") GROUP BY ALL), down AS (SELECT gw.k, col, sum(g * h) AS d FROM gw JOIN h ON h.k = gw.l GROUP BY ALL), h1 AS (SELECT h.k, h.col, h * coalesce(n, 0) / d AS h FROM h JOIN down USING (k, col) LEFT JOIN up USING (k, col)), "
+    f"gh AS (SELECT a.k, b.k AS l, sum(a.h * b.h) AS g FROM h1 a JOIN h1 b USING (col) GROUP BY ALL), up2 AS (SELECT \"row\", k, sum(h * v) AS n FROM x JOIN h1 USING (col) GROUP BY ALL), down2 AS (SELECT \"row\", gh.k, sum(g * w) AS d FROM gh JOIN w ON w.k = gh.l GROUP BY ALL), w1 AS (SELECT \"row\", w.k, w * coalesce(n, 0) / d AS w FROM w JOIN down2 USING (\"row\", k) LEFT JOIN up2 USING (\"row\", k)) {SIDES}"
+)
+def nmf_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of Frobenius updates, h first."""
+    x, w, h = factor_start(spark, sf_dir)
+    w, h, _ = factor.distributed_nmf(x, 3, 1, start=(w, h))
+    return factor_rows(w, h)
+
+
+@query(
+    f"WITH {FACTORS}, y AS (SELECT \"row\", col, max(v) / sum(w * h) AS q FROM x JOIN w USING (\"row\") JOIN h USING (k, col) GROUP BY ALL), s AS (SELECT k, sum(w) AS s FROM w GROUP BY ALL), h1 AS (SELECT h.k, h.col, max(h) * coalesce(sum(w * q), 0) / max(s) AS h FROM h JOIN s USING (k) LEFT JOIN y USING (col) LEFT JOIN w ON w.\"row\" = y.\"row\" AND w.k = h.k GROUP BY ALL), "
+    f"z AS (SELECT \"row\", col, max(v) / sum(w * h) AS q FROM x JOIN w USING (\"row\") JOIN h1 USING (k, col) GROUP BY ALL), t AS (SELECT k, sum(h) AS s FROM h1 GROUP BY ALL), w1 AS (SELECT w.\"row\", w.k, max(w) * coalesce(sum(h * q), 0) / max(s) AS w FROM w JOIN t USING (k) LEFT JOIN z USING (\"row\") LEFT JOIN h1 ON h1.col = z.col AND h1.k = w.k GROUP BY ALL) {SIDES}"
+)
+def nmf_kullback_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of Kullback-Leibler updates, h first."""
+    x, w, h = factor_start(spark, sf_dir)
+    return factor_rows(*factor.distributed_kullback(x, 3, 1, (w, h)))

@@ -589,4 +589,4 @@ def joint_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.col("i").alias("supplier"), hierarchy.strongest(F.col("w")).alias("topic"))
 
 
-from . import clean_queries, matrix_queries, report_queries, search_queries  # noqa: E402,F401  (they register their queries)
+from . import clean_queries, file_queries, matrix_queries, report_queries, search_queries  # noqa: E402,F401  (they register their queries)
