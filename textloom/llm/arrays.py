@@ -49,3 +49,25 @@ class Batch:
         both, of = np.concatenate([sums, extra]), np.concatenate([self.text[whole], short])
         order = np.argsort(of, kind="stable")
         return mix(both)[order], of[order]
+
+
+def shingles_of_texts(texts: list[bytes], n: int, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """``Batch(texts).shingles(n)``; the words of texts of over ``most`` bytes are hashed in parts."""
+    if sum(map(len, texts)) <= 2 * most:
+        return Batch(texts).shingles(n)
+    hashes, of = [], []
+    for i, text in enumerate(texts):
+        words, at = [], 0
+        while at < len(text):
+            to = at + most
+            while to < len(text) and not _SPACE[text[to]]:
+                to += 1
+            words.append(Batch([text[at:to]]).words)
+            at = to
+        batch = Batch.__new__(Batch)
+        batch.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        batch.text, batch.per_text = np.zeros(len(batch.words), np.int64), np.array([len(batch.words)])
+        found, _ = batch.shingles(n)
+        hashes.append(found)
+        of.append(np.full(len(found), i))
+    return np.concatenate(hashes), np.concatenate(of)

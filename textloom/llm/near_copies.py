@@ -1,75 +1,121 @@
-"""Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-The join is exact.  Texts of one set of shingles are one class, so exact copies cost
-one row.  Shingles are put in one global order; two sets of similarity s share a
-shingle among the first n - ceil(s n) + 1 of either, so classes are joined on these
-alone (prefix filter), by size and by places (positional filter), and the sets of
-what is left are compared.  Any order gives the same pairs; this one has shingles
-last that are common in a sample of the documents, so that common lines join little.
-
-A shingle shared by more than CROWD classes (a large group of near copies) would join
-all pairs of them.  There each class is compared with one centre first; of the rest
-only pairs from different components are compared, which is all that components need.
-Their rows are dealt by salt, so no task needs a whole shingle.
+"""One document of each group of near copies, found by SimHash first and exactly in the end.
+
+Near copies are texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more; groups are what such links connect.  Texts of one set are one class.
+
+1. Fingerprints of the shingles are joined on pigeonhole blocks (see ``simhash``).
+   Classes within 3 bits are candidates, the first to be compared.
+2. 64 bits cannot promise a similarity of 0.8: at that similarity fingerprints differ
+   in about 10 bits, often in more.  The candidates they miss come from a prefix join.
+   Shingles are put in one global order; two similar sets of n and m share a shingle
+   among the first n - ceil(0.8 n) + 1 of either, and behind the first one shared
+   enough must be left of both (positional filter).  Sets that share too few of their
+   first shingles cannot be similar either (counting filter).  Any order gives the same
+   result; this one has shingles last that are common in a sample of the documents.
+3. Each class is compared with its best candidate.  Of the other candidates only those
+   from different groups so far are compared, which is all that groups need.
+
+A first shingle of more than CROWD classes (a large group of near copies) gives no
+pairs at first: there each class is a candidate of one centre, then of one class of
+each of the largest other groups, and in the end of the classes that are still apart.  Common shingles are dealt by salt, so no task needs a whole one.
+
+Candidates have odd sketches that allow the similarity: 512 bits, each the parity of
+the number of shingles that fall to it.  Each shingle that only one of two sets has
+changes one bit, so sets of n and m that are similar differ in (n + m) / 9 bits at most.
+
+Texts travel only where they can be needed: a bitmap of bounded size, built from the
+ids in question, lets rows pass before they are shuffled.
 
 Shingles and sets are told apart by 64-bit hashes.  Texts under five words have one
-shingle of all their words; texts without words are copies of each other.
+shingle of all their words; texts without words (null and empty ones) are one class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph.components import connected_components
+from .arrays import shingles_of_texts
+from .bitmap import with_bitmap
 from .common import checkpointed, runs_of_rows
+from .simhash import near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A shingle with more classes than this is linked through a centre first.
+#: A first shingle with more classes than this is linked through a centre.
 CROWD = 8
-#: Rows of one shingle that meet all others of it in one task.
+#: Classes of one shingle that meet all others of it in one task, and texts that meet one text there.
 CHUNK = 1000
 #: One document of so many gives the order of shingles; so many common ones are known to it.
 SAMPLE, COMMON = 16, 50_000
+#: Text bytes whose shingles a task works out together.
+STEP = 500_000
+#: Components of a crowded shingle that all its classes are compared with, and how often, before its pairs are.
+CENTRES, ROUNDS = 8, 1
+#: Binary logarithm of the bits of an odd sketch.
+ODD_BITS = 9
+
+
+def shingle_sets(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of the texts, one text behind another; where each begins (and an end); bits set in over half of its shingles."""
+    hashes, of = shingles_of_texts([t.encode().lower() for t in texts], n)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    hashes, of = hashes[new], of[new]
+    begin = np.searchsorted(of, np.arange(len(texts) + 1))
+    prints = np.zeros(len(texts), np.uint64)
+    for i in range(len(texts)):
+        own = hashes[begin[i] : begin[i + 1]]
+        total = np.zeros(64, np.int64)
+        for a in range(0, len(own), 65536):
+            total += np.unpackbits(own[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        prints[i] = np.packbits(total * 2 > len(own), bitorder="little").view("<u8")[0]
+    return hashes, begin, prints
+
+
+def class_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    import xxhash
 
+    return np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes()) for a, b in zip(begin[:-1], begin[1:], strict=True)], np.uint64).view(np.int64)
 
-def shingle_set(text: str, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles of n words."""
-    import xxhash
 
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 43)], np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    m = len(each) - n + 1
-    total = np.zeros(m, np.uint64)
-    for k in range(n):
-        total = (total ^ total >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + each[k : k + m]
-    total = (total ^ total >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(total ^ total >> np.uint64(32))
-
-
-def class_key(shingles: np.ndarray) -> int:
-    import xxhash
+def odd_sketches(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each set a row of 64-bit words: the parities of its hashes by their first bits."""
+    n = len(begin) - 1
+    out = np.zeros((n, (1 << ODD_BITS) // 64), np.uint64)
+    for i in range(n):
+        counts = np.bincount((hashes[begin[i] : begin[i + 1]] >> np.uint64(64 - ODD_BITS)).astype(np.int64), minlength=1 << ODD_BITS)
+        out[i] = np.packbits(counts & 1, bitorder="little").view("<u8")
+    return out
+
 
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+def with_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash, class, n (shingles of its set), fp (fingerprint), odd (sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_of_rows(batches, most=STEP):
+            hashes, begin, prints = shingle_sets(batch.column("text").to_pylist())
+            odd = odd_sketches(hashes, begin)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, odd.shape[1]).astype(np.int32)), pa.array(odd.view(np.int64).ravel()))
+            arrays = [batch.column("doc_id"), batch.column("row_hash"), pa.array(class_keys(hashes, begin)), pa.array(np.diff(begin).astype(np.int32)), pa.array(prints.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_hash", "class", "n", "fp", "odd"])
+
+    return docs.mapInArrow(run, "doc_id long, row_hash long, class long, n int, fp long, odd array<long>")
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles of a sample, sorted, and their counts; they order shingles and decide nothing else."""
+    """The most common shingles of a sample, sorted, and their counts; they order and deal shingles and decide nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs_of_rows(batches):
-            found = np.concatenate([shingle_set(t) for t in batch.column("text").to_pylist()])
-            value, n = np.unique(found, return_counts=True)
+        for batch in runs_of_rows(batches, most=STEP):
+            value, n = np.unique(shingle_sets(batch.column("text").to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "shingle long, n long")
@@ -80,112 +126,238 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return value[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def with_prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, class, n (shingles of its set), prefix (the first shingles in the global order)."""
+def required(n: np.ndarray) -> np.ndarray:
+    """Shingles of a set of n that a similar one has at least."""
+    return np.ceil(SIMILARITY * n - 1e-9).astype(np.int64)
+
+
+def first_shingles(docs: DataFrame) -> DataFrame:
+    """class, n (shingles of its set), first (its first shingles in the global order), salts (how many ways each is dealt)."""
     common, count = common_shingles(docs)
 
-    def prefix(s: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(s), np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-            level = np.where(common[at] == s, count[at], 0)
-        return s[np.argsort(level, kind="stable")][: len(s) - ceil(SIMILARITY * len(s) - 1e-9) + 1].view(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs_of_rows(batches, most=STEP):
+            hashes, begin, _ = shingle_sets(batch.column("text").to_pylist())
+            level = np.zeros(len(hashes), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                level = np.where(common[at] == hashes, count[at], 0)
+            size = np.diff(begin)
+            of = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((hashes, level, of))
+            place = np.arange(len(hashes)) - begin[of]
+            own = order[place <= (size - required(size))[of]]
+            ends = np.concatenate([[0], np.cumsum(np.minimum(size, size - required(size) + 1))]).astype(np.int32)
+            salts = (1 + level[own] * SAMPLE // CHUNK).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (hashes[own].view(np.int64), salts)]
+            yield pa.RecordBatch.from_arrays([pa.array(class_keys(hashes, begin)), pa.array(size.astype(np.int32)), *lists], ["class", "n", "first", "salts"])
+
+    rows = docs.mapInArrow(run, "class long, n int, first array<long>, salts array<int>")
+    return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "first", "salts")))  # equal in all rows of a class
+
+
+def may_meet(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Can sets of n and m whose first shared shingle is at places i and j be similar?"""
+    return F.least(n - i, m - j) * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6
+
+
+def alike(n: Column, x: Column, m: Column, y: Column) -> Column:
+    """Do the odd sketches x and y allow sets of n and m to be similar?"""
+    bits = sum((F.bit_count(F.get(x, k).bitwiseXOR(F.get(y, k))) for k in range((1 << ODD_BITS) // 64)), F.lit(0))
+    return bits * (1 + SIMILARITY) <= (1 - SIMILARITY) * (n + m) + 1e-6
+
+
+def alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs of classes (a, b, weight) whose sketches allow the similarity."""
+    of = lambda c: sketches.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(alike(F.col("n_a"), F.col("odd_a"), F.col("n_b"), F.col("odd_b"))).select(*pairs.columns)
+
+
+def shared_shingles(classes: DataFrame) -> DataFrame:
+    """shingle, class, n, at, members (classes that have it among their first), centre: rows of shingles of two classes or more."""
+    placed = classes.select("class", "n", F.posexplode(F.arrays_zip(F.col("first").alias("shingle"), F.col("salts").alias("salts"))).alias("at", "x")).select("class", "n", "at", "x.*")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
+    own = Window.partitionBy("shingle", "salt")
+    counted = placed.withColumn("members", F.count("*").over(own)).withColumn("centre", F.min(F.struct("class", "n", "at")).over(own))
+    counted = checkpointed(counted.where("members > 1 OR salts > 1"))
+    dealt = counted.where("salts > 1")
+    parts = dealt.groupBy("shingle", "salt").agg(F.first("members").alias("members"), F.first("centre").alias("centre"))
+    whole = parts.groupBy("shingle").agg(F.sum("members").alias("members"), F.min("centre").alias("centre")).where("members > 1")
+    columns = ["shingle", "class", "n", "at", "members", "centre"]
+    return counted.where("salts = 1").select(*columns).unionByName(dealt.drop("members", "centre").join(whole, "shingle").select(*columns))
+
+
+def calm_pairs(held: DataFrame) -> DataFrame:
+    """a, b, weight: pairs of classes (a < b) that may be similar, through shingles of few classes; weight: shingles shared."""
+    calm = held.where(F.col("members") <= CROWD)
+    met = calm.groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("class", "n", "at"))).alias("all"))  # CROWD at most
+    pairs = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, CROWD), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    x, y = F.col("p.x"), F.col("p.y")
+    n, m = x["n"], y["n"]
+    met = met.select(F.explode(pairs).alias("p")).where((F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (x["class"] != y["class"]))
+    found = met.groupBy(x["class"].alias("a"), y["class"].alias("b")).agg(F.count("*").alias("weight"), F.max(may_meet(n, x["at"], m, y["at"])).alias("ok"), F.first(n).alias("n"), F.first(m).alias("m")).where("ok")
+    crowded = held.where(F.col("members") > CROWD).groupBy("class").agg(F.count("*").alias("more"))
+    found = found.join(crowded.select(F.col("class").alias("a"), F.col("more").alias("more_a")), "a", "left").join(crowded.select(F.col("class").alias("b"), F.col("more").alias("more_b")), "b", "left")
+    most = F.col("weight") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) + F.greatest(F.ceil(SIMILARITY * F.col("n") - 1e-9), F.ceil(SIMILARITY * F.col("m") - 1e-9)) - 1
+    return found.where(most * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("m")) - 1e-6).select("a", "b", "weight")
+
+
+def ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def centre_pairs(crowd: DataFrame) -> DataFrame:
+    """a, b, weight: classes of crowded shingles and the centres of these."""
+    c = F.col("centre")
+    near = crowd.where((F.col("class") != c["class"]) & may_meet(F.col("n"), F.col("at"), c["n"], c["at"]))
+    return near.groupBy(*ordered(F.col("class"), c["class"])).agg(F.count("*").alias("weight"))
+
+
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """a, b, weight: classes whose fingerprints are close, through the smallest class of each fingerprint."""
+    own = prints.groupBy("fp").agg(F.min("class").alias("first"))
+    same = prints.select("fp", "class").join(own, "fp").where("class != first").select("class", "first")
+    links = near_links(own.select("fp"))
+    left, right = own.select(F.col("fp").alias("a"), F.col("first").alias("x")), own.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    close = links.join(left, "a").join(right, "b").select("x", "y")
+    return same.unionByName(close.toDF("class", "first")).select(*ordered(F.col("class"), F.col("first"))).distinct().withColumn("weight", F.lit(1 << 30).cast("long"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have the similarity.
+
+    The text of the end with more pairs comes first in a partition (by salt, if these
+    are many), and the texts it is to be compared with pass by it one at a time.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("pairs"))
+    of = lambda c: ends.select(F.col("class").alias(c), F.col("pairs").alias(f"pairs_{c}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    turn = F.col("pairs_a") >= F.col("pairs_b")
+    both = both.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("key"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("class"), F.ceil(F.greatest("pairs_a", "pairs_b") / CHUNK).cast("int").alias("salts"))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
+    roles = both.select("class", "key", "salt", F.lit(1).alias("side")).unionByName(both.select(F.col("key").alias("class"), "key", "salt", F.lit(0).alias("side")).distinct())
+    wanted = checkpointed(roles.join(reps, "class"))
+    texts = with_bitmap(docs, wanted.select("doc_id")).where("maybe").drop("maybe")
+    placed = texts.join(wanted, ["doc_id", "row_hash"]).select("key", "salt", "side", "class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs_of_rows(batches):
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            first = [prefix(s) for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first)))
-            keys = pa.array([class_key(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), keys, pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "row_hash", "class", "n", "prefix"])
+        now, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in runs_of_rows([batch], most=STEP):
+                hashes, begin, _ = shingle_sets(part.column("text").to_pylist())
+                a, b = [], []
+                for i, (key, side, other) in enumerate(zip(part.column("key").to_pylist(), part.column("side").to_pylist(), part.column("class").to_pylist(), strict=True)):
+                    s = hashes[begin[i] : begin[i + 1]]
+                    if not side:
+                        now, own = key, s.copy()
+                    elif now == key:
+                        n = len(np.intersect1d(own, s, assume_unique=True))
+                        if n >= SIMILARITY * (len(own) + len(s) - n) - 1e-9:
+                            a.append(min(key, other))
+                            b.append(max(key, other))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, class long, n int, prefix array<long>")
+    return placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(run, "a long, b long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, shingles (binary) of the classes of ``wanted`` (class, doc_id)."""
+def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    groups = connected_components(links, "a", "b", checkpointed).withColumnRenamed("node", "class")
+    return rows.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs_of_rows(batches):
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            arrays = [batch.column("class"), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["class", "found", "shingles"])
 
-    # rows can share a doc_id but not the text
-    found = docs.join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, found long, shingles binary")
-    return found.where("class = found").select("class", "shingles").dropDuplicates(["class"])
+def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs (a, b, weight) whose ends are in different components."""
+    of = lambda c: components.select(F.col("class").alias(c), F.col("component").alias(f"component_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("component_a != component_b").select("a", "b", "weight")
+
 
+def mixed_crowd(crowd: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of crowded shingles whose classes are in different components, with component and sketch."""
+    named = crowd.select("shingle", "class", "n", "at", "members").join(components, "class")
+    mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    return checkpointed(named.join(mixed, "shingle", "left_semi").join(sketches.select("class", "odd"), "class"))
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have the similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = checkpointed(sets_of(docs, ends.join(classes.select("class", "doc_id"), "class")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def may_link(x: str, y: str) -> Column:
+    c = lambda t, k: F.col(f"{t}.{k}")
+    return may_meet(c(x, "n"), c(x, "at"), c(y, "n"), c(y, "at")) & alike(c(x, "n"), c(x, "odd"), c(y, "n"), c(y, "odd"))
 
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").mapInArrow(run, "a long, b long")
 
+def pairs_with_centres(rest: DataFrame) -> DataFrame:
+    """a, b, weight: each class with one of the CENTRES largest other components of a shingle, by a class of that; weight: its classes there."""
+    least = rest.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min(F.struct("class", "n", "at", "odd")).alias("own"))
+    place = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("size"), "component"))
+    centres = least.withColumn("place", place).where(F.col("place") <= CENTRES).select("shingle", "component", "size", "own.*")
+    x, y = rest.alias("x"), centres.alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
+    best = met.groupBy("x.class").agg(F.max(F.struct("y.size", F.col("y.class").alias("other"))).alias("best"))
+    return best.select(*ordered(F.col("class"), F.col("best.other")), F.col("best.size").alias("weight"))
 
-def may_meet(x: str, y: str) -> Column:
-    """Size and positional filter for two rows that share a shingle of their prefixes."""
-    n, m, i, j = (F.col(f"{t}.{c}") for c in ("n", "at") for t in (x, y))
-    most = 1 + F.least(i, j) + F.least(n - i, m - j) - 1
-    return most * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6
 
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """a, b: of the pairs (a, b, weight) the best one of each class."""
+    ends = pairs.select("a", "b", "weight", F.explode(F.array("a", "b")).alias("class"))
+    return ends.groupBy("class").agg(F.max(F.struct("weight", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
 
-def pairs_on(x: DataFrame, y: DataFrame, keys: list[str], more: Column) -> DataFrame:
-    x, y = x.alias("x"), y.alias("y")
-    on = more & may_meet("x", "y")
-    for k in keys:
+
+def crowd_pairs(rest: DataFrame) -> DataFrame:
+    """a, b: classes of one crowded shingle that may be similar and are in different components."""
+    rest = rest.withColumn("salts", F.ceil(F.col("members") / CHUNK).cast("int"))
+    one = rest.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).alias("x")
+    every = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    on = F.col("x.component") < F.col("y.component")
+    for k in ("shingle", "salt"):
         on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    return x.join(y, on).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-
-
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes (class, doc_id, n, prefix) whose components are those of all similar pairs."""
-    placed = classes.select("class", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = placed.groupBy("shingle").agg(F.count("*").alias("members"), F.min(F.struct("class", "n", "at")).alias("centre")).where("members > 1")
-    held = checkpointed(placed.join(shared, "shingle"))
-    calm, crowd = held.where(F.col("members") <= CROWD), held.where(F.col("members") > CROWD)
-    near = pairs_on(calm, calm, ["shingle"], F.col("x.class") < F.col("y.class"))
-    to_centre = crowd.select(F.struct("class", "n", "at").alias("x"), F.col("centre").alias("y")).where((F.col("x.class") != F.col("y.class")) & may_meet("x", "y"))
-    first = near.unionByName(to_centre.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))).distinct()
-    first = checkpointed(first)
-    found = checkpointed(verified(first, docs, classes))
-    if crowd.isEmpty():
-        return found
-    groups = connected_components(found, "a", "b", checkpointed).withColumnRenamed("node", "class")
-    named = crowd.drop("centre").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = checkpointed(named)
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    rest = named.join(mixed, "shingle", "left_semi").withColumn("salts", F.ceil(F.col("members") / CHUNK).cast("int"))
-    one = rest.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
-    every = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    more = pairs_on(one, every, ["shingle", "salt"], (F.col("x.component") < F.col("y.component")))
-    more = checkpointed(more.join(first, ["a", "b"], "left_anti"))
-    return found if more.isEmpty() else found.unionByName(verified(more, docs, classes))
+    return one.join(every, on & may_link("x", "y")).select(*ordered(F.col("x.class"), F.col("y.class"))).distinct()
+
+
+def sharing_enough(pairs: DataFrame, held: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that share so many of their first shingles that they may be similar.
+
+    Sets that are small for their sketches have been told apart by these; they are not counted.
+    """
+    of = lambda c: held.select(F.col("class").alias(c), "shingle")
+    size = lambda c: sketches.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
+    n, m = F.col("n_a"), F.col("n_b")
+    sized = checkpointed(pairs.join(size("a"), "a").join(size("b"), "b"))
+    large = (1 - SIMILARITY) * (n + m) > (1 + SIMILARITY) * (1 << ODD_BITS) / 4
+    shared = sized.where(large).join(of("a"), "a").join(of("b"), ["b", "shingle"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    most = F.col("shared") + F.greatest(F.ceil(SIMILARITY * n - 1e-9), F.ceil(SIMILARITY * m - 1e-9)) - 1
+    return shared.where(most * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6).select("a", "b").unionByName(sized.where(~large).select("a", "b"))
+
+
+def links(docs: DataFrame, prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between classes whose components are those of all similar pairs."""
+    held = checkpointed(shared_shingles(first_shingles(docs)))
+    crowd = held.where(F.col("members") > CROWD)
+    calm = checkpointed(alike_pairs(calm_pairs(held), prints))
+    more = alike_pairs(centre_pairs(crowd).unionByName(fingerprint_pairs(prints)), prints)
+    tried = checkpointed(best_pairs(calm.unionByName(more).groupBy("a", "b").agg(F.sum("weight").alias("weight"))))
+    found = checkpointed(verified(tried, docs, reps))
+    for _ in range(ROUNDS):
+        components = checkpointed(with_components(reps.select("class"), found))
+        rest, calm = mixed_crowd(crowd, components, prints), checkpointed(apart(calm, components))
+        now = checkpointed(best_pairs(calm.unionByName(pairs_with_centres(rest))).join(tried, ["a", "b"], "left_anti"))
+        tried, found = tried.unionByName(now), found.unionByName(checkpointed(verified(now, docs, reps)))
+    components = checkpointed(with_components(reps.select("class"), found))
+    more = apart(calm, components).select("a", "b").unionByName(crowd_pairs(mixed_crowd(crowd, components, prints))).distinct()
+    more = checkpointed(sharing_enough(more.join(tried, ["a", "b"], "left_anti"), held, prints))
+    return found if more.isEmpty() else found.unionByName(verified(more, docs, reps))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash (of all columns), component, component_id (its smallest doc_id), for rows with doc_id."""
     given = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).where(F.col("doc_id").isNotNull())
     docs = given.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "row_hash")
-    prints = checkpointed(with_prefixes(docs))
-    classes = checkpointed(prints.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    groups = connected_components(links(docs, classes), "a", "b", checkpointed).withColumnRenamed("node", "class")
-    named = classes.select("class", "doc_id").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    rows = checkpointed(with_classes(docs))
+    prints = rows.groupBy("class").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first(F.struct("n", "fp", "odd")).alias("x"))
+    prints = checkpointed(prints.select("class", "x.*", "first.*"))
+    reps = prints.select("class", "doc_id", "row_hash")
+    named = with_components(reps, links(docs, prints, reps))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.join(smallest, "component").select("class", "component", "component_id")
-    return prints.select("doc_id", "row_hash", "class").join(of, "class").select("doc_id", "row_hash", "component", "component_id")
+    return rows.select("doc_id", "row_hash", "class").join(of, "class").select("doc_id", "row_hash", "component", "component_id")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -200,6 +372,14 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     with the smallest XXH64 (seed 42) of all columns.  Rows that share a doc_id but have
     no similar texts are in different groups, and each stays.
     """
-    keep = grouped(docs).groupBy("component").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")).select("first.*").distinct()
-    known = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).join(keep, ["doc_id", "row_hash"], "left_semi")
-    return known.dropDuplicates(["doc_id", "row_hash"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = checkpointed(grouped(docs))
+    shared = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_hash")).alias("first")).where("n > 1")
+    shared = checkpointed(shared.select("component", "first"))
+    named = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    # rows alone in their group stay where they are; the others are looked up
+    marked = with_bitmap(named.where(F.col("doc_id").isNotNull()), groups.join(shared, "component", "left_semi").select("doc_id"))
+    alone = groups.join(shared, "component", "left_anti").select("doc_id", "row_hash")
+    keep = checkpointed(shared.select("first.*").distinct().unionByName(alone))
+    looked = marked.where("maybe").drop("maybe").join(keep, ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    out = looked.select(*docs.columns).unionByName(marked.where("NOT maybe").select(*docs.columns))
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
