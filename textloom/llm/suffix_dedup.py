@@ -13,8 +13,9 @@ smallest hash in them), so suffixes need to be compared only under a shared anch
    stretches in one batch only those of the smallest doc_id travel on.
 2. By anchor, equal stretches of greater doc_ids are removed.  What is left under an
    anchor with different stretches are the ends of matches; their bytes are fetched.
-3. By anchor again, the suffixes of these stretches are sorted, and the windows whose
-   longest earlier match has 50 bytes are removed.
+3. By anchor again, the suffixes of these stretches are sorted and compared byte by
+   byte; the previous and the next smaller doc_id in suffix order give each suffix its
+   longest previous factor, and the windows where that has 50 bytes are removed.
 
 No task needs a whole anchor.  Where more than WIDE different stretches stand under
 one, their windows meet by hash instead (48 bits of the anchor, 64 of the window),
@@ -42,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import with_bitmap
 from .common import checkpointed, ids_and_texts, pieces_for, runs_of_rows, text_bytes
 from .packed import pack, rows_in, unpack_all
 from .rolling import RangeHashes
@@ -54,6 +56,8 @@ PIECE = 1_000_000
 BATCH, BUCKET = 12_000_000, 5_000_000
 #: Different stretches of one anchor that are compared in one task, and stretches of one bucket that are held at once.
 WIDE, FULL = 20_000, 2_000_000
+#: A task goes through many buckets one after another.
+MOST_BUCKETS, MOST_PARTS = 1 << 22, 8192
 BITS = 24
 POSITION = np.uint64((1 << BITS) - 1)
 
@@ -141,10 +145,10 @@ def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anch
         bucket = bucket_of(gram, buckets)
         order = np.argsort(bucket, kind="stable")
         ids, start, n, gram, stretch, bucket = (x[order] for x in (ids, start, n, gram, stretch, bucket))
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            part = slice(cut[b], cut[b + 1])
-            yield b, pack(ids[part], start[part].astype(np.uint32), n[part], gram[part], stretch[part])
+        cut = np.append(np.flatnonzero(heads(bucket)), len(bucket))
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            part = slice(a, z)
+            yield int(bucket[a]), pack(ids[part], start[part].astype(np.uint32), n[part], gram[part], stretch[part])
 
     for batch in runs_of_rows(batches):
         keep = batch.column("doc_id").is_valid()
@@ -249,23 +253,69 @@ def windows_of(ids: np.ndarray, start: np.ndarray, gram: np.ndarray, texts: list
     return [ids[first], start[first], start[last], gram[first], value[first], least[first]]
 
 
-def earlier_matches(ids: np.ndarray, gram: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stretch number and offset of each window that also starts under the same anchor in a smaller doc_id."""
+def common_prefixes(rows: np.ndarray, left: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the one before; 0 where a group begins.  ``left``: bytes each row has."""
+    out = np.zeros(len(rows), np.int64)
+    same = rows[1:] == rows[:-1]
+    equal = np.where(same.all(1), rows.shape[1], same.argmin(1))
+    out[1:] = np.where(group[1:], 0, np.minimum(equal, np.minimum(left[1:], left[:-1])))
+    return out
+
+
+def match_with_smaller(doc: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
+    """For each row in suffix order, the bytes shared with the nearest previous row of a smaller doc_id.
+
+    ``shared``: bytes shared with the row before.  Rows point at the row before and jump on
+    along the pointers of rows that are not smaller; where under ``length`` bytes are left
+    the search ends with 0.
+    """
+    at, most = np.arange(-1, len(doc) - 1), shared.copy()
+    todo = np.arange(len(doc))
+    while True:
+        todo = todo[most[todo] >= length]
+        todo = todo[doc[at[todo]] >= doc[todo]]
+        if not len(todo):
+            break
+        over = at[todo]
+        most[todo], at[todo] = np.minimum(most[todo], most[over]), at[over]
+    return np.where(most >= length, most, 0)
+
+
+def previous_factors(ids: np.ndarray, gram: np.ndarray, size: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch number, offset and longest previous factor of each window.
+
+    Suffixes (from a window's start to the end of its stretch) are sorted under each
+    anchor.  The longest match with a smaller doc_id is with the previous or with the
+    next smaller one in this order.  Matches of under ``length`` bytes count as 0.
+    """
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     windows = size - length + 1
     number = np.repeat(np.arange(len(ids)), windows)
     offset = np.arange(len(number)) - np.repeat(np.cumsum(windows) - windows, windows)
-    text = np.lib.stride_tricks.sliding_window_view(data, length)[begin[number] + offset]
-    words = np.zeros((len(number), -(-length // 8) * 8), np.uint8)
-    words[:, :length] = text
-    words = words.view(">u8").astype(np.uint64)
+    left = size[number] - offset
+    width = -(-int(size.max()) // 8) * 8
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[begin[number] + offset]
+    rows[np.arange(width) >= left[:, None]] = 0
+    words = rows.view(">u8").astype(np.uint64)
     doc = ids[number]
-    order = np.lexsort((doc, *words.T[::-1], gram[number]))  # suffix order under each anchor, equal ones by doc_id
-    # The longest previous factor has the full length where a smaller doc_id stands among
-    # the equal neighbours; in this order the previous smaller one is at their head.
-    equal = heads(gram[number][order], *words[order].T)
-    earlier = first_of_run(equal, doc[order]) < doc[order]
-    return number[order][earlier], offset[order][earlier]
+    order = np.lexsort((doc, *words.T[::-1], gram[number]))
+    doc, shared = doc[order], common_prefixes(rows[order], left[order], heads(gram[number][order]))
+    before = match_with_smaller(doc, shared, length)
+    after = match_with_smaller(doc[::-1], np.append(0, shared[:0:-1]), length)[::-1]
+    return number[order], offset[order], np.maximum(before, after)
+
+
+def merged(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each doc_id with those joined that touch or overlap."""
+    order = np.lexsort((first, ids))
+    ids, first, last = ids[order], first[order], last[order]
+    start = np.flatnonzero(heads(ids))
+    reach = np.concatenate([np.maximum.accumulate(part) for part in np.split(last, start[1:])]) if len(last) else last
+    new = heads(ids)
+    new[1:] |= first[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return ids[at], first[at], reach[np.append(at[1:], len(reach)) - 1]
 
 
 def compare(blobs: list[bytes], bytes_of: list[bytes], length: int) -> Iterator[bytes]:
@@ -280,10 +330,11 @@ def compare(blobs: list[bytes], bytes_of: list[bytes], length: int) -> Iterator[
         to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 20_000, side="right")) - 1)
         part = order[cuts[at] : cuts[to]]
         where = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(size[part])[:-1]]), size[part]) + np.arange(size[part].sum())
-        number, offset = earlier_matches(ids[part], gram[part], size[part], data[where], length)
+        number, offset, factor = previous_factors(ids[part], gram[part], size[part], data[where], length)
+        number, offset = number[factor >= length], offset[factor >= length]
         if len(number):
             first = start[part][number] + offset
-            yield pack(ids[part][number], first, first + length)
+            yield pack(*merged(ids[part][number], first, first + length))
         at = to
 
 
@@ -308,9 +359,14 @@ def binary_rows(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordB
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wide: int = WIDE, full: int = FULL) -> DataFrame:
-    """doc_id, start, stop: byte spans that cover exactly what is to be removed; they may overlap."""
-    docs = ids_and_texts(docs)
-    buckets = pieces_for(text_bytes(docs), BUCKET)
+    """doc_id, start, stop: byte spans that cover exactly what is to be removed; they may overlap.
+
+    ``docs``: doc_id long, text string, and columns that the caller joins the spans to.
+    Texts are joined in the caller's form, so that both joins share one shuffle.
+    """
+    whole, docs = docs, ids_and_texts(docs)
+    buckets = min(pieces_for(text_bytes(docs), BUCKET), MOST_BUCKETS)
+    parts = min(buckets, MOST_PARTS)
     keyed = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
     kinds = pa.schema([("kind", pa.string()), ("data", pa.binary())])
 
@@ -323,7 +379,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     placed = docs.mapInArrow(put, "bucket long, data binary")
     spread = F.when(F.col("bucket") < 0, F.abs(F.xxhash64("data")) % buckets).otherwise(F.col("bucket"))
-    met = checkpointed(placed.repartition(buckets, spread).sortWithinPartitions("bucket").mapInArrow(meet, "kind string, data binary"))
+    met = checkpointed(placed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(meet, "kind string, data binary"))
 
     def expand(columns: list[str]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,8 +419,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             for data in compare(blobs, parts, length):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack_all([data])], ["doc_id", "start", "stop"])
 
-    fetched = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left").mapInArrow(fetch, "bucket long, data binary, bytes binary")
-    matched = fetched.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start long, stop long")
+    fetched = whole.join(wanted, "doc_id", "left").mapInArrow(fetch, "bucket long, data binary, bytes binary")
+    matched = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start long, stop long")
     out = removed.unionByName(matched)
 
     seen = {r["kind"] for r in met.select("kind").distinct().collect()}
@@ -392,7 +448,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["doc_id", "start", "last", "gram", "window", "here"])
 
     by_doc = held.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "gram")).alias("held"))
-    spread_out = docs.join(by_doc.hint("shuffle_hash"), "doc_id").mapInArrow(unfold, "doc_id long, start long, last long, gram long, window long, here long")
+    by_doc = checkpointed(by_doc)
+    spread_out = with_bitmap(docs, by_doc.select("doc_id")).where("maybe").drop("maybe").join(by_doc, "doc_id").mapInArrow(unfold, "doc_id long, start long, last long, gram long, window long, here long")
     spread_out = checkpointed(spread_out)
     span = ["doc_id", "start", (F.col("last") + length).alias("stop")]
     out = out.unionByName(spread_out.where("doc_id > here").select(*span))
@@ -412,7 +469,7 @@ def covered(spans: pa.Array, sizes: list[int]) -> Iterator[np.ndarray]:
 
 def with_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     spans = repeated_spans(docs, length, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(spans.hint("shuffle_hash"), "doc_id", "left")
+    return docs.join(spans, "doc_id", "left")
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -453,6 +510,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array(out, pa.string())).drop_columns(["spans"])
 
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = with_spans(rows, length, anchor).select(*rows.columns, "spans").mapInArrow(run, rows.schema)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(0).alias("rest"))
+    out = with_spans(rows, length, anchor).mapInArrow(run, rows.schema)
+    out = out.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
