@@ -14,7 +14,8 @@ Nothing but the text enters a score.  As the output layer is linear, a bucket's
 in the score is one number, so documents are scored by a table of ``BUCKETS`` numbers.
 
 Null texts are empty; an empty text has its length mark and is scored like any other.
-Null labels are left out; a doc_id with several labels or rows trains on each.
+Null labels are left out; a doc_id with both labels trains on each, and of several texts
+under one doc_id the smallest is learned from.
 Without labels of both kinds every score is 1.  Rows are kept as they come.
 """
 
@@ -126,6 +127,8 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mod
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "data"])
 
     joined = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id")  # SAMPLE rows at most
+    # of texts that share a doc_id the smallest is learned from
+    joined = joined.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = sorted((r["doc_id"], r["label"], bytes(r["data"])) for r in joined.mapInArrow(run, "doc_id long, label int, data binary").collect())
     if len({label for _, label, _ in found}) < 2:
         return None
