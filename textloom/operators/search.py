@@ -123,14 +123,31 @@ def in_window(tokens: Column, words: list[str], window: int, ordered: bool = Tru
     """
     query = F.array(*map(F.lit, words))
     times = lambda list_, x: F.size(F.filter(list_, lambda y: y == x))
+    # A run may as well begin at a query word, or be the last one.
+    known = lambda own: F.filter(F.transform(own, lambda t, i: F.when(t.isin(words), F.struct(i.alias("pos"), t.alias("word")))), lambda x: x.isNotNull())
 
-    def kept(i: Column) -> Column:
+    def same(items: Column) -> Column:
         none = F.array().cast("array<string>")
-        return F.aggregate(F.slice(tokens, i, window), none, lambda acc, x: F.when(times(acc, x) < times(query, x), F.array_append(acc, x)).otherwise(acc))
+        kept = F.aggregate(items, none, lambda acc, x: F.when(times(acc, x["word"]) < times(query, x["word"]), F.array_append(acc, x["word"])).otherwise(acc))
+        return kept == query if ordered else F.array_sort(kept) == F.array_sort(query)
 
-    same = lambda i: kept(i) == query if ordered else F.array_sort(kept(i)) == F.array_sort(query)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - window + 1, F.lit(1)))
-    return F.when(has_words(tokens, words), F.exists(starts, same)).otherwise(False)
+    def found(own: Column) -> Column:
+        at, last = own["at"], own["last"]
+
+        def run_from(k: Column) -> Column:
+            start = F.get(at, k)["pos"]
+            return (start <= last) & same(F.filter(F.slice(at, k + 1, window), lambda x: x["pos"] < start + window))
+
+        places = F.when(F.size(at) > 0, F.sequence(F.lit(0), F.size(at) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.exists(places, run_from) | same(F.filter(at, lambda x: x["pos"] >= last))
+
+    placed = once(tokens, lambda own: F.struct(known(own).alias("at"), F.greatest(F.size(own) - window, F.lit(0)).alias("last")))
+    return F.when(has_words(tokens, words), once(placed, found)).otherwise(False)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def query_hit(q: Query, window: int | None = None, ordered: bool = True, dependents: bool = True) -> Column:
