@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, near_copies, quality_rules, sentencepiece_codec, suffix_dedup
 from textloom.llm.queries import PIECES
-from textloom.shared import stage_folder
+from textloom.shared import remove_folder, stage_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 or more of their five-word shingles the smallest doc_id stays."""
+    """SimHash over five-word shingles, checked and completed exactly: of each group of texts of similarity 0.8 or more the smallest doc_id stays."""
     return near_copies.one_of_each_group(docs)
 
 
@@ -49,10 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; tables of earlier stages are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = stage_folder(spark)
+    folder, before = stage_folder(spark), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-        docs = spark.read.parquet(f"{folder}/{name}.parquet")
+        path = f"{folder}/{name}.parquet"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
