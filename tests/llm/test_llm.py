@@ -451,6 +451,26 @@ def test_license_cases(spark, docs, none):
     assert met == {1: "mit", 2: "mit", 3: "mit", 4: "mit", 5: "mit", 6: "", 7: ""}
 
 
+def test_stages_on_nothing_and_on_clashing_columns(spark, docs, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SMALL).count() == 0, name
+    more = docs.selectExpr("*", "'a' AS spans", "1 AS wanted", "2 AS maybe", "3 AS row_hash2", "'r' AS rest")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SMALL)
+        assert out.columns == more.columns and out.count() <= len(ROWS), name
+    cut = {r["doc_id"]: (r["text"], r["spans"], r["n_chars"]) for r in suffix_dedup.without_repeats(more).where("doc_id in (6, 7)").collect()}
+    assert cut[6] == (PASSAGE + " and then some more words", "a", len(PASSAGE) + 25) and PASSAGE not in cut[7][0] and cut[7][2] == len(cut[7][0])
+
+
+def test_chat_on_nothing_and_extra_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", 5), (1, 1, "assistant", "b", 6)], "conv_id long, turn long, role string, text string, offset int")
+    found = chat_format.conversation_digests(rows, queries.PIECES).collect()
+    assert [(r["n_turns"], r["loss_chars"]) for r in found] == [(2, 1)] and found[0]["formatted_chars"] > 2
+    assert chat_format.conversation_digests(rows.where("false"), queries.PIECES).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

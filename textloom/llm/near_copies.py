@@ -348,8 +348,8 @@ def links(docs: DataFrame, prints: DataFrame, reps: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash (of all columns), component, component_id (its smallest doc_id), for rows with doc_id."""
-    given = docs.withColumn("row_hash", F.xxhash64(*docs.columns)).where(F.col("doc_id").isNotNull())
-    docs = given.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), "row_hash")
+    row_hash = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash")
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), row_hash)
     rows = checkpointed(with_classes(docs))
     prints = rows.groupBy("class").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first(F.struct("n", "fp", "odd")).alias("x"))
     prints = checkpointed(prints.select("class", "x.*", "first.*"))
@@ -375,11 +375,12 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     groups = checkpointed(grouped(docs))
     shared = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_hash")).alias("first")).where("n > 1")
     shared = checkpointed(shared.select("component", "first"))
-    named = docs.withColumn("row_hash", F.xxhash64(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*columns).alias("row_hash"), F.struct(*columns).alias("row"))
     # rows alone in their group stay where they are; the others are looked up
     marked = with_bitmap(named.where(F.col("doc_id").isNotNull()), groups.join(shared, "component", "left_semi").select("doc_id"))
     alone = groups.join(shared, "component", "left_anti").select("doc_id", "row_hash")
     keep = checkpointed(shared.select("first.*").distinct().unionByName(alone))
-    looked = marked.where("maybe").drop("maybe").join(keep, ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"])
-    out = looked.select(*docs.columns).unionByName(marked.where("NOT maybe").select(*docs.columns))
+    looked = marked.where("maybe").join(keep, ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    out = looked.select("row.*").unionByName(marked.where("NOT maybe").select("row.*"))
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
