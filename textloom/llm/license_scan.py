@@ -1,15 +1,19 @@
 """Licence notices in documents: phrases, and an exact containment join with templates.
 
-A text block (a line) meets a template if it has at least ``threshold`` of the
-template's distinct words.  The join finds every such block:
+A text block is a window of words: for a template of L words, windows of 2 * span
+words that start every span words, span being 1.25 L rounded up.  So each run of span
+words lies whole in a block, however a notice is wrapped over lines, indented or
+written behind comment marks (these are no words).  A block meets a template if it has
+at least ``threshold`` of the template's distinct words.  The join finds every such block:
 
 * words are put in one global order, rarest in the corpus first;
-* a block that meets a template shares a word with the template's prefix - its
-  |T| - required + 1 rarest words - so blocks are joined to templates on these alone;
-* blocks with fewer known words than required are left out (length filter);
-* a first shared word at place i of the template and j of the block leaves
-  1 + min(|T| - i, |B| - j) - 1 words to share at most (positional filter);
-* the words in common are then counted.
+* a document with a block that meets a template shares a word with the template's
+  prefix - its |T| - required + 1 rarest words - so documents are joined to templates
+  on these alone;
+* documents with fewer known words than required are left out (length filter);
+* a first shared word at place i of the template and j of the document leaves
+  min(|T| - i, |D| - j) words to share at most (positional filter);
+* the words in common are then counted in each block of what is left.
 
 Phrases (``mit license`` and so on) are looked for in the words of the whole text.
 
@@ -37,9 +41,14 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc", "licensed under cc by nc 4 0"),
     ("cc", "this work is licensed under a creative commons attribution license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved"),
 )
 THRESHOLD = 0.8
+#: Words of a run in which a template is looked for, to the template's own.
+SLACK = 1.25
 #: What stands between words, in texts of either case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -66,8 +75,12 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
+def span_of(text: str) -> int:
+    return ceil(SLACK * len(text.split()))
+
+
 def blocks_meeting(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, block (line number from 0), label, containment of every block that meets a template."""
+    """doc_id, template, block (number from 0), label, containment of every block that meets a template."""
     docs = ids_and_texts(docs)
     sets = template_sets(templates)
     vocabulary = sorted({w for _, words in sets for w in words})
@@ -75,24 +88,26 @@ def blocks_meeting(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     rows = []
-    for number, (label, words) in enumerate(sets):
+    for number, ((label, words), (_, text)) in enumerate(zip(sets, templates, strict=True)):
         words = sorted(words, key=place.get)
         required = ceil(threshold * len(words) - 1e-9)
         prefix = words[: len(words) - required + 1]
-        rows += [(w, number, label, i, words, prefix, required) for i, w in enumerate(prefix)]
-    index = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, i int, words array<string>, prefix array<string>, required int")
+        rows += [(w, number, label, i, words, prefix, required, span_of(text)) for i, w in enumerate(prefix)]
+    index = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, i int, words array<string>, prefix array<string>, required int, span int")
     firsts = sorted({r[0] for r in rows})
     likely = docs.where(F.arrays_overlap(F.split(F.lower("text"), BETWEEN), strings(firsts)))
-    lines = likely.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    known = F.array_intersect(strings(order), lowered(F.split("line", BETWEEN)))  # in the global order
-    blocks = lines.select("doc_id", "block", known.alias("known")).where(F.size("known") >= min(r[6] for r in rows))
-    shared = blocks.select("doc_id", "block", "known", F.posexplode("known").alias("j", "word")).where(F.col("word").isin(firsts))
+    known = F.array_intersect(strings(order), lowered(F.split("text", BETWEEN)))  # in the global order
+    known = likely.select("doc_id", "text", known.alias("known")).where(F.size("known") >= min(r[6] for r in rows))
+    shared = known.select("doc_id", "text", "known", F.posexplode("known").alias("j", "word")).where(F.col("word").isin(firsts))
     pairs = shared.join(F.broadcast(index), "word")
     left = F.least(F.size("words") - F.col("i"), F.size("known") - F.col("j"))
     first = F.array_intersect("prefix", "known")[0] == F.col("word")
-    pairs = pairs.where(first & (F.size("known") >= F.col("required")) & (left >= F.col("required")))
-    common = F.size(F.array_intersect("words", "known"))
-    return pairs.where(common >= F.col("required")).select("doc_id", "block", "label", (common / F.size("words")).alias("containment"))
+    pairs = pairs.where(first & (F.size("known") >= F.col("required")) & (left >= F.col("required")) & (F.size(F.array_intersect("words", "known")) >= F.col("required")))
+    pairs = pairs.select("doc_id", "template", "label", "words", "required", "span", lowered(words_of(F.col("text"))).alias("own"))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("own"), F.lit(1)) - 1) / F.col("span")).cast("int"))
+    common = F.transform(starts, lambda k: F.size(F.array_intersect("words", F.slice("own", k * F.col("span") + 1, 2 * F.col("span")))))
+    blocks = pairs.select("doc_id", "template", "label", "required", F.size("words").alias("n"), F.posexplode(common).alias("block", "common"))
+    return blocks.where(F.col("common") >= F.col("required")).select("doc_id", "template", "block", "label", (F.col("common") / F.col("n")).alias("containment"))
 
 
 def phrase_places(words: Column, phrase: str, label: str) -> Column:
@@ -150,7 +165,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
 def scan_sql() -> str:
     """The same rows in DuckDB SQL, every block compared with every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    templates = ", ".join(f"('{label}', {words!r})" for label, words in template_sets(TEMPLATES))
+    templates = ", ".join(f"('{label}', {words!r}, {span_of(text)})" for (label, words), (_, text) in zip(template_sets(TEMPLATES), TEMPLATES, strict=True))
     places = []
     for phrase, label in PHRASES.items():
         parts = phrase.split()
@@ -158,12 +173,11 @@ def scan_sql() -> str:
         places.append(f"list_transform(list_filter(range(len(w)), lambda i: {test}), lambda i: {{'s': i, 'l': '{label}'}})")
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{A_Z}', '{A_Z.lower()}') AS t FROM documents),
-t AS (SELECT * FROM (VALUES {templates}) AS v(label, words)),
-b AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-k AS (SELECT doc_id, regexp_extract_all(line, '{word}') AS w FROM b),
-c AS (SELECT doc_id, label, len(list_intersect(words, w)) AS n, len(words) AS m FROM k, t),
-m AS (SELECT doc_id, list(DISTINCT label) AS met, max(n / m) AS most FROM c WHERE n >= ceil({THRESHOLD} * m - 1e-9) GROUP BY doc_id),
+t AS (SELECT * FROM (VALUES {templates}) AS v(label, words, span)),
 w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
+b AS (SELECT doc_id, label, words, list_slice(w, k * span + 1, k * span + 2 * span) AS own FROM (SELECT doc_id, label, words, span, w, unnest(range((len(w) - 1) // span + 1)) AS k FROM w, t WHERE len(w) > 0)),
+c AS (SELECT doc_id, label, len(list_intersect(words, own)) AS n, len(words) AS m FROM b),
+m AS (SELECT doc_id, list(DISTINCT label) AS met, max(n / m) AS most FROM c WHERE n >= ceil({THRESHOLD} * m - 1e-9) GROUP BY doc_id),
 p AS (SELECT doc_id, len(w) AS n_words, list_concat({", ".join(places)}) AS p FROM w)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.s)) AS first_word, list_max(list_transform(p, lambda x: x.s)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.l))), ',') AS base_labels,
