@@ -8,10 +8,14 @@ bytes that a longer context has are excluded from the shorter ones.  At the bott
 256 values are equally likely.  A text is its bytes and one end mark (0xFF, which
 UTF-8 never uses); before it stand four zeros.
 
-No model is sent around.  Documents are dealt into shards by hash; each shard reports
-the five-byte strings and words it has, with their counts in training documents; these
-meet by context (strings) and by hash (words), where probabilities and totals are
-worked out, and go back to the shards that asked for them.
+The deep levels of the model are never in one place.  Documents are dealt into shards
+by hash; each shard reports the five-byte strings and words it has, with their counts in
+training documents; these meet by the last three bytes of the context (strings) and by
+hash (words), where probabilities and totals are worked out, and go back to the shards
+that asked for them.  Each shard names a string once, so a common context costs a
+bucket at most 2 ** 16 strings a shard.  The shallow levels, up to two bytes of context,
+are counts of at most 2 ** 24 three-byte strings whatever the size of the corpus; these
+alone go to every task.
 
 Beside it stands a base score, the add-one unigram score of lower-cased words.  Words
 are told apart by 64-bit hashes.
@@ -35,7 +39,8 @@ from .packed import pack, unpack, unpack_all
 
 FOLDS, HELD_OUT = 7, 2
 ORDER, END = 4, 0xFF
-SHARD, STEP = 6_000_000, 1_000_000
+#: Text bytes of a shard, of a bucket, and of a step in a shard.
+SHARD, BUCKET, STEP = 24_000_000, 6_000_000, 1_000_000
 END_TOKEN = np.uint64(0xE0E0E0E0E0E0E0E0)
 
 
@@ -103,25 +108,28 @@ def low(keys: np.ndarray, n_bytes: int) -> np.ndarray:
     return keys & np.uint64((1 << 8 * n_bytes) - 1)
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def shallow_levels(triples: tuple[np.ndarray, np.ndarray]) -> dict[int, Levels]:
+    """Levels 2 to 0 from the counts of three-byte strings."""
+    levels = {2: Levels(*triples)}
+    for o in (1, 0):
+        above = levels[o + 1]
+        levels[o] = Levels(*tally([low(above.keys, o + 1)], [above.counts]))
+    return levels
+
+
+def log_probabilities(keys: np.ndarray, counts: np.ndarray, shallow: dict[int, Levels]) -> np.ndarray:
     """log10 of each symbol's probability in its context.
 
-    keys: sorted five-byte strings; every training string that shares the last two
-    context bytes with one of them is among them.  counts: in training.  pairs: 256 x
-    256 counts of all training pairs, whose column sums count symbols.
+    keys: sorted five-byte strings; every training string that shares the last three
+    context bytes with one of them is among them.  counts: in training.
     """
     # levels[o]: strings of o context bytes and a symbol
     seen = counts > 0
     levels = {ORDER: Levels(keys[seen], counts[seen])}
-    for o in range(ORDER - 1, 1, -1):
+    for o in range(ORDER - 1, 2, -1):
         above = levels[o + 1]
         levels[o] = Levels(*tally([low(above.keys, o + 1)], [above.counts]))
-    flat = pairs.ravel()
-    some = np.flatnonzero(flat)
-    levels[1] = Levels(some.astype(np.uint64), flat[some])
-    single = pairs.sum(0)
-    some = np.flatnonzero(single)
-    levels[0] = Levels(some.astype(np.uint64), single[some])
+    levels |= shallow
     out = np.zeros(len(keys))
     todo = np.arange(len(keys))
     for o in range(ORDER, -1, -1):
@@ -145,22 +153,26 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -
     return out - np.where(np.isin(np.arange(len(keys)), todo), np.log10(max(1, 256 - len(levels[0].keys))), 0)
 
 
-def pair_counts(train: DataFrame) -> np.ndarray:
-    """256 x 256 counts of a byte (0 before the first) and the next in training texts."""
+def triple_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted strings of two bytes (0 before the first) and the next, and their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65536, np.int64)
         for batch in runs_of_rows(batches):
-            found, _ = codes([t.encode() for t in batch.column("text").to_pylist()])
-            total += np.bincount((found & np.uint64(0xFFFF)).astype(np.int64), minlength=65536)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
-
-    rows = train.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 65536 at most
-    out = np.zeros(65536, np.int64)
-    for r in rows:
-        out[r["pair"]] = r["n"]
-    return out.reshape(256, 256)
+            found, count = np.unique(codes([t.encode() for t in batch.column("text").to_pylist()])[0] & np.uint64(0xFFFFFF), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(count)], ["triple", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True)]
+        if columns:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(*columns)], pa.binary())], ["data"])
+
+    counts = train.mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    rows = counts.repartition(16, "triple").mapInArrow(packed, "data binary").collect()  # 2 ** 24 counts at most
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, count = unpack_all([r["data"] for r in rows])
+    order = np.argsort(key)
+    return key[order].astype(np.uint64), count[order]
 
 
 def split_by(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -217,12 +229,12 @@ def reports(blobs: list[bytes], shard: int, buckets: int) -> Iterator[tuple[int,
     for bucket, data in split_by((w % np.uint64(buckets)).astype(np.int64), w, n.astype(np.uint32)):
         yield bucket, shard, "words", data
     (g,), (n,) = grams
-    context = (g >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    context = (g >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
     for bucket, data in split_by((context % np.uint64(buckets)).astype(np.int64), g, n.astype(np.uint32)):
         yield bucket, shard, "strings", data
 
 
-def answers(rows: list[tuple[int, str, bytes]], pairs: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+def answers(rows: list[tuple[int, str, bytes]], triples: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, str, bytes]]:
     """Of one bucket: shard, kind, data with totals or probabilities; shard -1 has token and word numbers."""
     for kind in ("words", "strings"):
         own = [(shard, unpack(data)) for shard, k, data in rows if k == kind]
@@ -233,7 +245,7 @@ def answers(rows: list[tuple[int, str, bytes]], pairs: np.ndarray) -> Iterator[t
             yield -1, "numbers", pack(np.array([counts.sum()]), np.array([(counts > 0).sum()]))
             values = counts
         else:
-            values = log_probabilities(keys, counts, pairs).astype(np.float32)
+            values = log_probabilities(keys, counts, shallow_levels(triples)).astype(np.float32)
         for shard, (wanted, _) in own:
             yield shard, kind, pack(wanted, values[np.searchsorted(keys, wanted)])
 
@@ -262,27 +274,34 @@ def scores(blobs: list[bytes], known: list[tuple[str, bytes]]) -> Iterator[pa.Re
             at += n
 
 
-def score_documents(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
+def score_documents(docs: DataFrame, shard_bytes: int = SHARD, bucket_bytes: int = BUCKET) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     docs = ids_and_texts(docs).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD_OUT)
-    shards = pieces_for(text_bytes(docs), shard_bytes)
-    pairs = pair_counts(docs.where(~F.col("held_out")))
+    size = text_bytes(docs)
+    shards, buckets = pieces_for(size, shard_bytes), pieces_for(size, bucket_bytes)
+    triples = docs.sparkSession.sparkContext.broadcast(triple_counts(docs.where(~F.col("held_out"))))
     dealt = shards_of(docs, shards)
 
     def report(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [d for b in batches for d in b.column("data").to_pylist()]
-        for row in reports(blobs, key[0].as_py(), shards):
+        for row in reports(blobs, key[0].as_py(), buckets):
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["bucket", "shard", "kind", "data"])
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "data")), strict=True)]
-        for row in answers(rows, pairs):
+        for row in answers(rows, triples.value):
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["shard", "kind", "data"])
 
     said = dealt.groupBy("shard").applyInArrow(report, "bucket long, shard long, kind string, data binary")
     told = checkpointed(said.groupBy("bucket").applyInArrow(answer, "shard long, kind string, data binary"))
-    numbers = [unpack(r["data"]) for r in told.where("shard = -1").select("data").collect()]  # two numbers a bucket
-    tokens, words = (int(sum(n[i][0] for n in numbers)) for i in range(2))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[int(x[0]) for x in unpack(d)] for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], ["tokens", "words"])
+
+    numbers = told.where("shard = -1").select("data").mapInArrow(read, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
+    tokens, words = (n or 0 for n in numbers)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         known = list(zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True))
