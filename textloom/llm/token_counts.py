@@ -1,16 +1,24 @@
 """Token counts from compiled finite-state transducers.
 
-Two deterministic transducers run one behind the other.
-
-* The splitter reads character classes and emits a mark where a word starts.  It
-  has five states, so what a chunk of text does is a map of five states; the maps
-  of all chunks are found at once, composed by a parallel prefix scan, and a last
-  pass emits marks from the right state of each chunk.
-* The merger reads the UTF-8 bytes of a word and emits, at each transition, by how
-  much the byte changes the number of tokens.  Its state is what the rest of the
-  word can depend on: the last tokens (see ``bpe``) and relative counts of the
-  prefixes that some vocabulary entry can still reach back to.  States are compiled
-  when first met and shared by all words that lead there.
+Two deterministic transducers run one behind the other over a batch of texts.  Both are
+run chunk by chunk in parallel: what a chunk does is a map of states, the maps are
+composed by a prefix scan, and a last pass works each chunk from its right state.
+
+* The splitter reads character classes and emits a mark where a word starts.  It has
+  five states, so the map of a chunk is a table of five entries.
+* The merger reads the UTF-8 bytes of words and emits, at each transition, by how much
+  the byte changes the number of tokens.  Its state is what the rest of the word can
+  depend on: the last tokens (see ``bpe``) and relative counts of the prefixes that some
+  vocabulary entry can still reach back to.  Transitions are compiled when first met and
+  kept in a table that all chunks look up together.  Behind a word's end the state is the
+  first one again, so the map of a chunk with such an end is constant in its exit state
+  and, behind the end, in its counts; both are found for all chunks at once.  The scan
+  hands each chunk the exit of the one before, and what stands before a chunk's first end
+  is then run from that state.  A chunk without an end (of a very long word) is run from
+  the state that reaches it.
+
+Tokens of a text are the sum of what its transitions emit.  Classes and case follow the
+tables of the ``tokenizers`` library, which may know other characters than Python does.
 
 Null and empty texts count no tokens.  Rows are kept as they come; only doc_id and
 text are read.
@@ -19,6 +27,7 @@ text are read.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,8 +57,9 @@ AFTER = np.array(
 #: Does a word start at a character of this class, met in this state?
 STARTS = np.array([[0, 1, 1, 1, 1, 1], [0, 0, 1, 1, 1, 1], [0, 1, 1, 0, 0, 0], [0] * 6, [0] * 6], bool)
 CHUNK = 256
-#: Capitals of Unicode 16, which Python's tables do not have yet.
-NEWER_CASE = {"\ua7cb": "\u0264", "\ua7dc": "\u019b"}
+#: Symbol of bytes outside words; bytes that end a word are 256 more than their value.
+OUTSIDE, ENDS = 512, 256
+BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
 
 
 def splitter_states(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
@@ -79,12 +89,16 @@ def splitter_states(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
     """The class of each code point."""
-    import regex
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
 
+    # no letter, number or space is or will be in the planes left out (private ones and those without characters)
+    codes = np.array([c for c in range(0x40000) if not 0xD800 <= c < 0xE000], np.uint32)
+    every = codes.tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+        for _, (a, b) in Split(Regex(f"(?:{pattern})+"), "removed", invert=True).pre_tokenize_str(every):
+            out[codes[a:b]] = kind
     return out
 
 
@@ -109,7 +123,8 @@ def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Merger:
     """Transducer from a word's bytes to its number of tokens."""
 
-    MOST_TRANSITIONS = 150_000
+    #: Transitions that are kept; beyond, all are compiled anew.
+    MOST_TRANSITIONS = 400_000
 
     def __init__(self, strings: dict[tuple[int, ...], int], merges: Merges) -> None:
         self.adjacent = merges.adjacent
@@ -147,7 +162,48 @@ class Merger:
     def forget(self) -> None:
         self.states: list[tuple] = [(0, (-1,), (0,))]  # automaton node, last tokens, counts relative to the newest
         self.number = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, int]] = {}
+        self.table(1 << 17)
+
+    def table(self, slots: int) -> None:
+        """An empty hash table of transitions with so many slots."""
+        self.keys, self.next, self.more = np.full(slots, -1, np.int64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.used = 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free one where it belongs."""
+        mask = len(self.keys) - 1
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & mask
+        todo = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & mask
+            there = self.keys[at[todo]]
+            todo = todo[(there != keys[todo]) & (there >= 0)]
+        return at
+
+    def put(self, keys: np.ndarray, following: np.ndarray, more: np.ndarray) -> None:
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            kept = self.keys >= 0
+            old = self.keys[kept], self.next[kept], self.more[kept]
+            self.table(2 * max(len(self.keys), 2 * len(keys)))
+            self.put(*old)
+        self.used += len(keys)
+        while len(keys):  # of keys that want one slot the first gets it
+            at, own = np.unique(self.slots(keys), return_index=True)
+            self.keys[at], self.next[at], self.more[at] = keys[own], following[own], more[own]
+            rest = np.delete(np.arange(len(keys)), own)
+            keys, following, more = keys[rest], following[rest], more[rest]
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind the symbols and the tokens these add; behind a word's end and outside words the first state."""
+        keys = np.where(symbols == OUTSIDE, OUTSIDE, states.astype(np.int64) << 10 | symbols)
+        at = self.slots(keys)
+        if (missing := self.keys[at] < 0).any():
+            new = np.unique(keys[missing])
+            arcs = [(0, 0) if k == OUTSIDE else self.compile(k >> 10, k & 1023) for k in new.tolist()]
+            ended = (new & 1023) >= ENDS
+            self.put(new, np.where(ended, 0, [a for a, _ in arcs]), np.array([m for _, m in arcs]))
+            at = self.slots(keys)
+        return self.next[at], self.more[at]
 
     def compile(self, state: int, symbol: int) -> tuple[int, int]:
         """The state behind ``symbol`` and the tokens it adds."""
@@ -168,20 +224,34 @@ class Merger:
             self.states.append(new)
         return number, emitted
 
-    def count(self, word: str) -> int:
-        """Tokens of ``word``; its last byte carries the mark of a word's end."""
-        if len(self.arcs) > self.MOST_TRANSITIONS:
+    def counts(self, symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """The tokens that each symbol adds, from the first state on."""
+        if self.used > self.MOST_TRANSITIONS:
             self.forget()
-        arcs, state, n = self.arcs, 0, 0
-        data = word.encode()
-        for symbol in (*data[:-1], data[-1] + 256):
-            key = state << 9 | symbol
-            arc = arcs.get(key)
-            if arc is None:
-                arc = arcs[key] = self.compile(state, symbol)
-            state, more = arc
-            n += more
-        return n
+        n = len(symbols)
+        rows = -(-n // chunk)
+        grid = np.full(rows * chunk, OUTSIDE, np.int16)
+        grid[:n] = symbols
+        grid = grid.reshape(rows, chunk).T.copy()
+        added = np.zeros(grid.shape, np.int32)
+        ends = grid >= ENDS
+        closed, first = ends.any(0), ends.argmax(0)
+        exits = np.zeros(rows, np.int64)
+        for i in range(1, chunk):  # behind the first end of each chunk
+            own = np.flatnonzero(closed & (first < i))
+            exits[own], added[i, own] = self.step(exits[own], grid[i, own])
+        enter = np.zeros(rows, np.int64)
+        enter[1:] = exits[:-1]
+        for row in np.flatnonzero(~closed).tolist():
+            state = enter[row : row + 1] if not row or closed[row - 1] else exits[row - 1 : row]
+            for i in range(chunk):
+                state, added[i, row] = self.step(state, grid[i, row : row + 1])
+            exits[row] = state[0]
+            enter[row + 1 : row + 2] = state
+        for i in range(int(first.max(initial=-1, where=closed)) + 1):  # up to it
+            own = np.flatnonzero(closed & (first >= i))
+            enter[own], added[i, own] = self.step(enter[own], grid[i, own])
+        return added.T.reshape(-1)[:n]
 
 
 def byte_characters() -> list[str]:
@@ -199,9 +269,10 @@ def byte_characters() -> list[str]:
 class Counter:
     """Counts tokens of lower-cased texts for a vocabulary with word ends."""
 
-    REMEMBERED = 200_000
-
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.normalizer = Tokenizer.from_file(path).normalizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -223,40 +294,34 @@ class Counter:
         strings = {symbols(t): i for t, i in vocab.items() if i in parts or len(t.removesuffix(end)) == 1}
         self.merger = Merger(strings, Merges(rank, parts, lambda a, b: pairs.get(a << 32 | b)))
         self.special = [t["content"] for t in spec["added_tokens"] if not t["normalized"]]
-        self.known: dict[str, int] = {}
 
     def plain(self, text: str) -> tuple[str, int]:
         """The normalised text with special tokens cut out, and how many these were."""
         n = 0
-        if "<|" in text or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             for s in self.special:
                 n += text.count(s)
                 text = text.replace(s, "\n")
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # case without regard to context
-        for upper, lower in NEWER_CASE.items():
-            if upper in text:
-                text = text.replace(upper, lower)
-        return text, n
+        if text.isascii():
+            return text.lower(), n
+        if not BEYOND_LATIN.search(text):  # no letter there changes with its neighbours, and all tables agree
+            return unicodedata.normalize("NFC", text).lower(), n
+        return self.normalizer.normalize_str(text), n
 
     def counts(self, texts: list[str]) -> list[int]:
         plain = [self.plain(t) for t in texts]
         whole = "\n".join(t for t, _ in plain)
         first, end = word_spans(whole)
-        known, count, found = self.known, self.merger.count, np.empty(len(first), np.int64)
-        for i, (a, b) in enumerate(zip(first.tolist(), end.tolist(), strict=True)):
-            word = whole[a:b]
-            n = known.get(word)
-            if n is None:
-                if len(known) >= self.REMEMBERED:
-                    known.clear()
-                n = count(word)
-                if b - a < 200:
-                    known[word] = n
-            found[i] = n
-        sums = np.concatenate([[0], np.cumsum(found)])
-        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t, _ in plain])])
-        at = np.searchsorted(first, bounds)
-        return (sums[at[1:]] - sums[at[:-1]] + np.array([n for _, n in plain], np.int64)).tolist()
+        data = np.frombuffer(whole.encode(), np.uint8)
+        places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each character
+        step = np.zeros(len(data) + 1, np.int8)
+        np.add.at(step, places[first], 1)
+        np.add.at(step, places[end], -1)
+        symbols = np.where(np.cumsum(step[:-1]) > 0, data.astype(np.int16), OUTSIDE)
+        symbols[places[end] - 1] += ENDS
+        sums = np.concatenate([[0], np.cumsum(self.merger.counts(symbols))])
+        bounds = places[np.concatenate([[0], np.cumsum([len(t) + 1 for t, _ in plain])[:-1], [len(whole)]])]
+        return (np.diff(sums[bounds]) + np.array([n for _, n in plain], np.int64)).tolist()
 
 
 @lru_cache(maxsize=2)
