@@ -317,12 +317,16 @@ def sharing_enough(pairs: DataFrame, held: DataFrame, sketches: DataFrame) -> Da
 
     Sets that are small for their sketches have been told apart by these; they are not counted.
     """
-    of = lambda c: held.select(F.col("class").alias(c), "shingle")
     size = lambda c: sketches.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
     n, m = F.col("n_a"), F.col("n_b")
     sized = checkpointed(pairs.join(size("a"), "a").join(size("b"), "b"))
     large = (1 - SIMILARITY) * (n + m) > (1 + SIMILARITY) * (1 << ODD_BITS) / 4
-    shared = sized.where(large).join(of("a"), "a").join(of("b"), ["b", "shingle"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    counted = sized.where(large)
+    ends = counted.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    # the first shingles of one class, in one row
+    own = checkpointed(held.join(ends, "class", "left_semi").groupBy("class").agg(F.collect_list("shingle").alias("own")))
+    of = lambda c: own.select(F.col("class").alias(c), F.col("own").alias(f"own_{c}"))
+    shared = counted.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("own_a", "own_b")))
     most = F.col("shared") + F.greatest(F.ceil(SIMILARITY * n - 1e-9), F.ceil(SIMILARITY * m - 1e-9)) - 1
     return shared.where(most * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6).select("a", "b").unionByName(sized.where(~large).select("a", "b"))
 
