@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, ppm_score, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts
+from ..shared import stage_folder
+from . import chat_format, decontaminate, license_scan, ppm_score, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
 from .common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +59,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{stage_folder(spark)}/warc"
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.page_digests(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ppm_score,
         op9_quality_rules,
         op10_quality_classifier,
+        op11_warc,
     )
 }
 
