@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import stage_folder
-from . import chat_format, decontaminate, license_scan, ppm_score, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
+from . import chat_format, decontaminate, lexical_search, license_scan, ppm_score, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
 from .common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,6 +65,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(spark, folder)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_quality_classifier,
         op11_warc,
+        op12_lexical_search,
     )
 }
 
-ORACLE: dict[str, str] = {"op2_license_scan": license_scan.scan_sql()}
+ORACLE: dict[str, str] = {"op2_license_scan": license_scan.scan_sql(), "op12_lexical_search": lexical_search.search_sql()}
