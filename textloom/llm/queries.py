@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import stage_folder
-from . import chat_format, decontaminate, lexical_search, license_scan, ppm_score, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
+from . import chat_format, decontaminate, lexical_search, license_scan, ppm_score, quality_classifier, quality_rules, sentencepiece_codec, simhash, suffix_dedup, token_alignment, token_counts, warc
 from .common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -69,6 +70,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(documents(spark, sf_dir), BYTES, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
         op11_warc,
         op12_lexical_search,
+        op13_token_alignment,
     )
 }
 
