@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from ..shared import written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", cut=checkpointed, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", cut=written, max_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node of each (weakly) connected component.
 
     Edges with a null end and loops join nothing.  Each round links every node's

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from ..shared import written
 from .ranks import nodes_of
 
 
@@ -32,16 +32,16 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, max_steps
     join; all sources advance together.  ``sources`` may be a sample of the nodes:
     the table has a row for each source and node it reaches.
     """
-    one_way = checkpointed(links(edges))
+    one_way = written(links(edges))
     start = nodes_of(edges) if sources is None else sources.select("node").distinct()
-    level = checkpointed(start.where("node IS NOT NULL").select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(1.0).alias("paths")))
+    level = written(start.where("node IS NOT NULL").select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(1.0).alias("paths")))
     reached = level
     for step in range(1, max_steps + 1):
         ahead = level.select("source", F.col("node").alias("src"), "paths").join(one_way, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = checkpointed(ahead.join(reached, ["source", "node"], "left_anti").select("source", "node", F.lit(step).alias("distance"), "paths"))
+        level = written(ahead.join(reached, ["source", "node"], "left_anti").select("source", "node", F.lit(step).alias("distance"), "paths"))
         if level.isEmpty():
             return reached
-        reached = checkpointed(reached.unionByName(level)) if step % 4 == 0 else reached.unionByName(level)
+        reached = written(reached.unionByName(level)) if step % 4 == 0 else reached.unionByName(level)
     raise RuntimeError(f"paths of more than {max_steps} steps")
 
 
@@ -50,7 +50,7 @@ def closeness(edges: DataFrame, inward: bool = True) -> DataFrame:
 
     ``inward`` counts paths that end at the node, else those that start there.
     """
-    nodes = checkpointed(nodes_of(edges))
+    nodes = written(nodes_of(edges))
     n = nodes.count()
     side = "node" if inward else "source"
     sums = shortest_paths(edges).where("distance > 0").groupBy(F.col(side).alias("node")).agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
@@ -65,8 +65,8 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
     aggregation a level for all sources at once.  With sampled ``sources`` the sums
     are scaled by nodes per source; normalized divides by (n - 1)(n - 2).
     """
-    nodes, one_way = checkpointed(nodes_of(edges)), checkpointed(links(edges))
-    paths = checkpointed(shortest_paths(edges, sources))
+    nodes, one_way = written(nodes_of(edges)), written(links(edges))
+    paths = written(shortest_paths(edges, sources))
     n, used = nodes.count(), paths.where("distance = 0").count()
     deepest = paths.agg(F.max("distance")).first()[0] or 0
     share = paths.where("false").select("source", "node", F.lit(0.0).alias("share"))
@@ -74,7 +74,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, normalized:
     for step in range(deepest - 1, 0, -1):
         after = paths.where(F.col("distance") == step + 1).join(below, ["source", "node"], "left").select("source", F.col("node").alias("dst"), ((1 + F.coalesce("share", F.lit(0.0))) / F.col("paths")).alias("part"))
         gained = after.join(one_way, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum("part").alias("part"))
-        below = checkpointed(paths.where(F.col("distance") == step).join(gained, ["source", "node"]).select("source", "node", (F.col("paths") * F.col("part")).alias("share")))
+        below = written(paths.where(F.col("distance") == step).join(gained, ["source", "node"]).select("source", "node", (F.col("paths") * F.col("part")).alias("share")))
         share = share.unionByName(below)
     scale = n / max(used, 1) / (max((n - 1) * (n - 2), 1) if normalized else 1)
     sums = share.groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
@@ -86,7 +86,7 @@ def _spread(edges: DataFrame, colours: DataFrame, a: str, b: str, max_steps: int
     now, before = colours, None
     for step in range(max_steps):
         sent = edges.join(now.withColumnRenamed("node", a), a).select(F.col(b).alias("node"), "colour")
-        now = checkpointed(now.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
+        now = written(now.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
         state = now.agg(F.sum(F.col("colour").cast("decimal(38,0)"))).first()[0]
         if state == before:
             return now
@@ -100,8 +100,8 @@ def strong_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
     A round spreads the smallest node id forward; what its owner reaches backward in
     the same colour is a component and leaves.  Integer nodes.
     """
-    left = checkpointed(links(edges))
-    alive = checkpointed(nodes_of(edges).where("node IS NOT NULL"))
+    left = written(links(edges))
+    alive = written(nodes_of(edges).where("node IS NOT NULL"))
     done = alive.where("false").select("node", F.col("node").alias("component"))
     while not alive.isEmpty():
         colours = _spread(left, alive.select("node", F.col("node").alias("colour")), "src", "dst", max_steps)
@@ -110,11 +110,11 @@ def strong_components(edges: DataFrame, max_steps: int = 100) -> DataFrame:
         edge = found
         for _ in range(max_steps):
             back = inside.join(edge.select(F.col("node").alias("dst"), F.col("component").alias("c")), ["dst", "c"]).select(F.col("src").alias("node"), F.col("c").alias("component")).distinct()
-            edge = checkpointed(back.join(found, "node", "left_anti"))
+            edge = written(back.join(found, "node", "left_anti"))
             if edge.isEmpty():
                 break
-            found = checkpointed(found.unionByName(edge))
-        done = checkpointed(done.unionByName(found))
-        alive = checkpointed(alive.join(found, "node", "left_anti"))
-        left = checkpointed(left.join(alive.withColumnRenamed("node", "src"), "src", "left_semi").join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            found = written(found.unionByName(edge))
+        done = written(done.unionByName(found))
+        alive = written(alive.join(found, "node", "left_anti"))
+        left = written(left.join(alive.withColumnRenamed("node", "src"), "src", "left_semi").join(alive.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     return done

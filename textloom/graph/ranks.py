@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from ..shared import written
 
 
 def nodes_of(edges: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -27,12 +27,12 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
     Ranks of a graph sum to 1, so what nodes without edges out lose is what the others do not pass on.
     """
     by = list(by)
-    nodes = checkpointed(nodes_of(edges, by))
+    nodes = written(nodes_of(edges, by))
     sizes = nodes.groupBy(*by).agg(F.count("*").alias("n"))
     total = edges.groupBy(*by, "src").agg(F.sum("weight").alias("total"))
-    share = checkpointed(edges.join(total, [*by, "src"]).select(*by, "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    share = written(edges.join(total, [*by, "src"]).select(*by, "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     whole = lambda df: F.broadcast(df) if not by else df  # noqa: E731  (one row without by)
-    nodes = checkpointed(nodes.join(sizes, by) if by else nodes.join(whole(sizes), F.lit(True)))
+    nodes = written(nodes.join(sizes, by) if by else nodes.join(whole(sizes), F.lit(True)))
     ranks = nodes.select(*by, "node", (1.0 / F.col("n")).alias("rank"))
     for _ in range(rounds):
         got = share.join(ranks.withColumnRenamed("node", "src"), [*by, "src"]).groupBy(*by, F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
@@ -40,7 +40,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance
         new = nodes.join(got, [*by, "node"], "left").join(ranks, [*by, "node"])
         new = new.join(passed, by, "left") if by else new.join(whole(passed), F.lit(True))
         mass = F.coalesce("got", F.lit(0.0)) + (1 - F.coalesce("passed", F.lit(0.0))) / F.col("n")
-        new = checkpointed(new.select(*by, "node", (alpha * mass + (1 - alpha) / F.col("n")).alias("new"), "rank", "n"))
+        new = written(new.select(*by, "node", (alpha * mass + (1 - alpha) / F.col("n")).alias("new"), "rank", "n"))
         if tolerance:
             moved = new.groupBy(*by, "n").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("d")).where(F.col("d") >= F.col("n") * tolerance)
             if moved.isEmpty():
@@ -54,7 +54,7 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 0.0) -> DataFra
 
     A single node has 1 for both; in a graph without weights all are 0.
     """
-    nodes = checkpointed(nodes_of(edges))
+    nodes = written(nodes_of(edges))
     n = nodes.count()
     if n < 2 or not (edges.agg(F.sum("weight")).first()[0] or 0):
         return nodes.select("node", F.lit(float(n == 1)).alias("hub"), F.lit(float(n == 1)).alias("authority"))
@@ -62,9 +62,9 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 0.0) -> DataFra
     authorities = None
     for _ in range(rounds):
         authorities = edges.join(hubs.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.sum(F.col("hub") * F.col("weight")).alias("a")).withColumnRenamed("dst", "node")
-        authorities = checkpointed(authorities.join(F.broadcast(authorities.agg(F.sum("a").alias("s"))), F.lit(True)).select("node", (F.col("a") / F.col("s")).alias("authority")))
+        authorities = written(authorities.join(F.broadcast(authorities.agg(F.sum("a").alias("s"))), F.lit(True)).select("node", (F.col("a") / F.col("s")).alias("authority")))
         new = edges.join(authorities.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.sum(F.col("authority") * F.col("weight")).alias("h")).withColumnRenamed("src", "node")
-        new = checkpointed(new.join(F.broadcast(new.agg(F.sum("h").alias("s"))), F.lit(True)).select("node", (F.col("h") / F.col("s")).alias("hub")))
+        new = written(new.join(F.broadcast(new.agg(F.sum("h").alias("s"))), F.lit(True)).select("node", (F.col("h") / F.col("s")).alias("hub")))
         moved = new.join(hubs.withColumnRenamed("hub", "old"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("hub", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] if tolerance else None
         hubs = new
         if tolerance and moved < tolerance:

@@ -29,6 +29,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a table beside the checkpoints and read back.
+
+    For loops: a checkpoint keeps the size that was estimated for its plan, and as the estimate
+    of a join is a product, a loop of joins makes numbers whose digits grow without end.  A
+    table has the size of its files.
+    """
+    path = stage_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new folder's path beside the checkpoints, for tables that later stages read."""
     context = spark.sparkContext
