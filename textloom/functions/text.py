@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters written as hyphens, and steps as (pattern, replacement).
-HYPHENS = "‐‑‒–—―−﹘﹣－"
+HYPHENS = "‐‑‒–—―−⸺⸻"
 PATTERNS = {
     "remove_trailing_dash": (r"(?<!\w)-|-(?!\w)", ""),
     "make_hyphens_words": (r"([a-z])\-([a-z])", ""),

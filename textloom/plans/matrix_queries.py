@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import ranks
 from ..graph.components import connected_components
-from ..operators import factor, stats, tensor
+from ..operators import factor, similar, stats, tensor
 from .queries import EDGES, LOW, NODES, PAPERS, POSTINGS, edges, hits_rounds, papers, query, rank_rounds, table
 from .report_queries import FACTORS, LINES, lines
 
@@ -170,3 +170,15 @@ def nmf_kullback_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round of Kullback-Leibler updates, h first."""
     x, w, h = factor_start(spark, sf_dir)
     return factor_rows(*factor.distributed_kullback(x, 3, 1, (w, h)))
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT DISTINCT n_name AS s FROM nation UNION SELECT DISTINCT r_name FROM region), p AS (SELECT a.s AS a, b.s AS b FROM n a, n b WHERE length(a.s) >= 4), "
+    "w AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0::BIGINT) AS r FROM p UNION ALL "
+    "SELECT a, b, i + 1, list_transform(range(length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0::BIGINT ELSE list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k + 1], r[k] + CASE WHEN substring(a, i + 1, 1) = substring(b, k, 1) THEN 1 ELSE 0 END))) END) FROM w WHERE i < length(a)), "
+    "d AS (SELECT a, b, 1 - 2 * r[length(b) + 1] / (length(a) + length(b)) AS distance FROM w WHERE i = length(a)) SELECT a, b, round(distance, 9) AS distance FROM d WHERE distance <= 0.45 + 1e-12"
+)
+def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations and regions whose normalized Indel distance is 0.45 or less."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("value")))
+    return similar.ratio_pairs(names.where("length(value) >= 4"), names, 0.45).withColumn("distance", F.round("distance", 9))

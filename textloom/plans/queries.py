@@ -85,7 +85,7 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH a AS (SELECT doc_id, lower(translate(coalesce(text, ''), '‐‑‒–—―−﹘﹣－', '----------')) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\S*@\\S*\\s?', '', 'g'), '\\[.*?\\]', ' ', 'g'), '\\(.*?\\)', ' ', 'g') AS t FROM a), "
+    "WITH a AS (SELECT doc_id, lower(translate(coalesce(text, ''), '‐‑‒–—―−⸺⸻', '---------')) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\S*@\\S*\\s?', '', 'g'), '\\[.*?\\]', ' ', 'g'), '\\(.*?\\)', ' ', 'g') AS t FROM a), "
     "c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[!|\"#$%&''()*+,./:;<=>?@\\[\\]^_`{}~]', '', 'g'), '[^\\x00-\\x7F]+', '', 'g') AS t FROM b) "
     f"SELECT doc_id, nullif(trim(array_to_string(list_filter(string_split_regex(t, '\\s+'), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ({quoted(STOP_WORDS)})), ' ')), '') AS cleaned FROM c"
 )
