@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import ranks
 from ..graph.components import connected_components
-from ..operators import factor, similar, stats, tensor
-from .queries import EDGES, LOW, NODES, PAPERS, POSTINGS, edges, hits_rounds, papers, query, rank_rounds, table
+from ..operators import consensus as agreement
+from ..operators import evidence, factor, similar, stats, tensor
+from .queries import EDGES, LABELS, LOW, NODES, PAPERS, POSTINGS, edges, hits_rounds, papers, query, rank_rounds, table
 from .report_queries import FACTORS, LINES, lines
 
 
@@ -182,3 +183,36 @@ def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of nations and regions whose normalized Indel distance is 0.45 or less."""
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("value")))
     return similar.ratio_pairs(names.where("length(value) >= 4"), names, 0.45).withColumn("distance", F.round("distance", 9))
+
+
+def repeated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five clusterings of the customers."""
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run"))
+    return runs.select("run", "i", F.expr("(i div (run + 1)) % 4").alias("label"))
+
+
+@query(f"WITH l AS (SELECT run, c_custkey AS i, {LABELS} AS label FROM customer, range(5) r(run)), p AS (SELECT v, count(*) AS n FROM (SELECT i, list(label ORDER BY run) AS v FROM l GROUP BY ALL) GROUP BY v), s AS (SELECT list_sum(list_transform(range(1, 6), lambda k: (x.v[k] = y.v[k])::INT)) / 5 AS together, CASE WHEN x.v = y.v THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs FROM p x JOIN p y ON x.v <= y.v) SELECT round(sum(CASE WHEN together > 0.1 AND together < 0.9 THEN pairs ELSE 0 END) / sum(pairs), 9) AS pac, sum(pairs)::BIGINT AS pairs FROM s")
+def consensus_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.ambiguous_share(repeated_labels(spark, sf_dir)).withColumn("pac", F.round("pac", 9))
+
+
+@query()
+def consensus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the order of the average linkage of their agreement."""
+    return agreement.average_linkage(repeated_labels(spark, sf_dir))[1].select(F.col("i").alias("c_custkey"), "place")
+
+
+@query("WITH d AS (SELECT l_returnflag AS flag, l_quantity::DOUBLE - (l_partkey % 50 + 1) AS d FROM lineitem), r AS (SELECT flag, d, rank() OVER (PARTITION BY flag ORDER BY abs(d)) + (count(*) OVER (PARTITION BY flag, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY flag, abs(d)) AS t FROM d WHERE d <> 0), s AS (SELECT flag, count(*)::BIGINT AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY flag), z AS (SELECT flag, count(*) FILTER (d = 0) AS n_zero FROM d GROUP BY flag) SELECT flag, n, n_zero, w_plus, w_minus, round((least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s JOIN z USING (flag)")
+def signed_rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 50 + 1).alias("y"))
+    return evidence.signed_ranks(pairs, ["flag"]).select("flag", "n", "n_zero", "w_plus", "w_minus", F.round("z", 6).alias("z"))
+
+
+@query("WITH s AS (SELECT unnest([struct_pack(feature := 0, v := 4 * var_pop(l_quantity::DOUBLE)), struct_pack(feature := 1, v := 0.0), struct_pack(feature := 2, v := 2500 * var_pop(l_linenumber))], recursive := true) FROM lineitem) SELECT feature, row_number() OVER (ORDER BY v DESC)::INT AS place FROM s")
+def important_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by importance for a number that two of three make up; in SQL by their share of its variance."""
+    lines = table(spark, sf_dir, "lineitem")
+    quantity, other, number = (F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_linenumber"))
+    rows = lines.select(F.struct("l_orderkey", "l_linenumber").alias("j"), F.array(quantity, other, number).alias("h"), (2 * quantity + 50 * number).alias("y"))
+    found = evidence.importances(rows.select("j", "h"), rows.select("j", "y"), repeats=1)
+    return found.select("feature", F.row_number().over(Window.orderBy(F.desc("importance"))).alias("place"))
