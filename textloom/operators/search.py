@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lower_tokens, phrase_pattern
@@ -60,8 +60,53 @@ def _named(kind: str, values: Column) -> Column:
 
 
 def save_index(index: DataFrame, path: str) -> None:
-    """Kinds become folders, so that a lookup reads its own kind alone."""
-    index.repartition("kind", "value").write.partitionBy("kind").parquet(path)
+    """Kinds become folders, ranges of values (and of the ids of a common value) files in order of value.
+
+    A lookup so reads the folders of its kinds, and of their files the row groups whose span
+    of values holds one it asks for.
+    """
+    index.repartitionByRange("kind", "value", "id").sortWithinPartitions("kind", "value", "id").write.partitionBy("kind").parquet(path)
+
+
+def saved_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index that ``save_index`` wrote (kind, value, id)."""
+    return spark.read.parquet(path).select(F.col("kind").cast("string").alias("kind"), "value", "id")
+
+
+def look_up(index: DataFrame, queries=None, filters: dict[str, list] | None = None, match_all: bool = False, linked: bool = False) -> DataFrame:
+    """id of the papers that ``search`` selects (without a window), from the rows of an index alone.
+
+    Only rows of values that are asked for are read; each paper's become one row of flags.
+    """
+    parsed, flags = read_queries(queries), {}
+    wanted = {kind: [str(v).strip().lower() for v in values] for kind, values in (filters or {}).items()}
+
+    def has(kind: str, value: str) -> Column:
+        return F.col(flags.setdefault((kind, value), f"_has{len(flags)}"))
+
+    def hit(q: Query, dependents: bool = True) -> Column:
+        held = {kind: [has(kind, w) for w in q.words] for kind in ("title", "abstract")}
+        passed = {kind: all_of([has(kind, w) for w in q.positives]) & ~any_of([has(kind, w) for w in q.negatives]) if dependents else F.lit(True) for kind in held}
+        return ((all_of(held["title"]) & passed["title"]) | all_of(held["abstract"])) & passed["abstract"]
+
+    own, raw = [hit(q) for q in parsed], [hit(q, False) for q in parsed] if linked else []
+    hits = [h | (r & any_of(o for j, o in enumerate(own) if j != i)) for i, (h, r) in enumerate(zip(own, raw, strict=True))] if linked else own
+    test = all_of(any_of([has(kind, v) for v in values]) for kind, values in wanted.items())
+    if hits:
+        test = test & (all_of(hits) if match_all else any_of(hits))
+    if not flags:
+        return index.select("id").where(F.lit(False))
+    by_kind = {kind: [v for k, v in flags if k == kind] for kind, _ in flags}
+    rows = index.where(any_of((F.col("kind") == kind) & F.col("value").isin(values) for kind, values in by_kind.items()))
+    told = rows.groupBy("id").agg(*(F.max((F.col("kind") == k) & (F.col("value") == v)).alias(name) for (k, v), name in flags.items()))
+    return told.where(test).select("id")
+
+
+def search_saved(index: DataFrame, papers: DataFrame, queries=None, filters: dict[str, list] | None = None, match_all: bool = False, window: int | None = None, ordered: bool = True, linked: bool = False, id_col: str = "id") -> DataFrame:
+    """As ``search``, but the papers come from an index; where a window is asked for, their texts alone are looked at."""
+    ids = look_up(index, queries, filters, match_all, linked).withColumnRenamed("id", id_col)
+    found = papers.join(ids, id_col, "left_semi")
+    return search(found, queries, filters, match_all, window, ordered, linked) if window else found
 
 
 def value_filter(filters: dict[str, list]) -> Column:

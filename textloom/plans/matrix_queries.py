@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..graph import ranks
 from ..graph.components import connected_components
 from ..operators import consensus as agreement
-from ..operators import evidence, factor, similar, stats, tensor
+from ..operators import ensemble, evidence, factor, similar, stats, tensor
 from .queries import EDGES, LABELS, LOW, NODES, PAPERS, POSTINGS, edges, hits_rounds, papers, query, rank_rounds, table
 from .report_queries import FACTORS, LINES, lines
 
@@ -216,3 +216,13 @@ def important_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.select(F.struct("l_orderkey", "l_linenumber").alias("j"), F.array(quantity, other, number).alias("h"), (2 * quantity + 50 * number).alias("y"))
     found = evidence.importances(rows.select("j", "h"), rows.select("j", "y"), repeats=1)
     return found.select("feature", F.row_number().over(Window.orderBy(F.desc("importance"))).alias("place"))
+
+
+@query("SELECT DISTINCT 'n' || (c_nationkey % 2) AS node, (2 + c_nationkey % 2)::INT AS rank FROM customer")
+def planted_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank that the ensemble of each node finds in blocks of customers by columns; in SQL the number of blocks."""
+    blocks, customer = F.col("c_nationkey") % 2 + 2, F.col("c_custkey")
+    column = F.explode(F.sequence(F.lit(0), F.lit(5)))
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), (F.col("c_nationkey") % 2).cast("string")).alias("node"), customer.alias("i"), (customer % blocks).alias("b"), column.alias("k"))
+    cells = rows.select("node", "i", (F.col("k") * 10 + F.col("b")).cast("long").alias("j"), ((1 + F.col("i") % 5) * (1 + F.col("k") % 4)).cast("double").alias("v"))
+    return ensemble.select_ranks(cells, [2, 3, 4], runs=3, rounds=6)[0].where("selected").select("node", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..shared import stage_folder
 from .queries import PAPERS, REFERENCES, papers, query, references, table
 
 COUNTRIES = ("Spain", "France", "New Spain", None)
@@ -183,3 +184,25 @@ def bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = S.may_be_in(table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey", S.bloom(wanted, "l_orderkey", 1 << 16), 1 << 16)
     return lines.where("maybe").join(wanted, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stage_folder(spark)
+    S.save_index(S.build_index(paper_rows(spark, sf_dir)), folder)
+    return S.saved_index(spark, folder)
+
+
+@query(f"WITH {TOKENS} SELECT id FROM d WHERE (list_contains(t, 'the') OR list_contains(a, 'the')) AND (list_contains(t, 'that') OR list_contains(a, 'that')) AND year IN (1995, 2003, 2010) AND (lower(coalesce(c1, '')) IN ('spain', '') OR lower(coalesce(c2, '')) IN ('spain', ''))")
+def saved_index_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers of search_filters, from a saved index."""
+    return S.look_up(_saved(spark, sf_dir), ["the", "that"], {"year": [1995, 2003, 2010], "country": ["Spain", ""]}, match_all=True)
+
+
+@query(
+    f"WITH {TOKENS} SELECT id FROM d WHERE ((list_has_all(t, ['the']) AND list_contains(t, 'and') AND NOT list_contains(t, 'of') OR list_has_all(a, ['the'])) AND list_contains(a, 'and') AND NOT list_contains(a, 'of')) "
+    "OR (list_has_all(t, ['die', 'und']) OR list_has_all(a, ['die', 'und']))"
+)
+def saved_index_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers of search_dependents, from a saved index."""
+    papers = paper_rows(spark, sf_dir)
+    return S.search_saved(_saved(spark, sf_dir), papers, [{"The": ["+and", "of"]}, "die und"]).select("id")
