@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph.components import connected_components
+from ..shared import written
 from .arrays import shingles_of_texts
 from .bitmap import with_bitmap
 from .common import checkpointed, runs_of_rows
@@ -262,7 +263,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    groups = connected_components(links, "a", "b", checkpointed).withColumnRenamed("node", "class")
+    groups = connected_components(links, "a", "b", written).withColumnRenamed("node", "class")
     return rows.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
