@@ -73,6 +73,27 @@ def test_token_counts_equal_the_library(spark, docs, none):
     assert token_counts.count_tokens(none, queries.WORD_PIECES).count() == 0
 
 
+def test_token_counts_of_very_long_words():
+    import random
+
+    from tokenizers import Tokenizer
+
+    random.seed(4)
+    library, counter = Tokenizer.from_file(queries.WORD_PIECES), token_counts.Counter(queries.WORD_PIECES)
+    letters = lambda alphabet, n: "".join(random.choices(alphabet, k=n))
+    texts = ["a" * 100_001, "ab" * 40_000 + " end", "x " + "é" * 5_000 + "!" * 70_000, "", letters("的一是在不了有和人这", 30_000)]
+    texts += [letters("abcdefghijklmnopqrstuvwxyz", 200_000), letters(["the", "ing", "er", "qu"], 60_000), letters("ab", 60_000) + " " + letters("ab", 300), "short words stand here " * 40]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.counts(texts) == want
+    import numpy as np
+
+    symbols = np.frombuffer(letters("abc", 3_000).encode(), np.uint8).astype(np.int16)
+    symbols[[700, 1900, 2999]] += token_counts.ENDS
+    sums = [counter.merger.counts(symbols, chunk, section).sum() for chunk, section in ((256, 1 << 20), (7, 21), (16, 64), (4000, 4000), (1, 1))]
+    assert len(set(sums)) == 1
+
+
+
 def test_splitter_is_the_same_for_any_chunk():
     import numpy as np
 

@@ -14,8 +14,8 @@ composed by a prefix scan, and a last pass works each chunk from its right state
   first one again, so the map of a chunk with such an end is constant in its exit state
   and, behind the end, in its counts; both are found for all chunks at once.  The scan
   hands each chunk the exit of the one before, and what stands before a chunk's first end
-  is then run from that state.  A chunk without an end (of a very long word) is run from
-  the state that reaches it.
+  is then run from that state.  A chunk without an end (of a very long word) has a map of
+  the states that may reach it; these maps are composed by doubling.
 
 Tokens of a text are the sum of what its transitions emit.  Classes and case follow the
 tables of the ``tokenizers`` library, which may know other characters than Python does.
@@ -57,6 +57,8 @@ AFTER = np.array(
 #: Does a word start at a character of this class, met in this state?
 STARTS = np.array([[0, 1, 1, 1, 1, 1], [0, 0, 1, 1, 1, 1], [0, 1, 1, 0, 0, 0], [0] * 6, [0] * 6], bool)
 CHUNK = 256
+#: Bytes (whole chunks) after which transitions may be forgotten.
+SECTION = CHUNK << 12
 #: Symbol of bytes outside words; bytes that end a word are 256 more than their value.
 OUTSIDE, ENDS = 512, 256
 BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
@@ -217,17 +219,64 @@ class Merger:
             match = self.entry[match]
         emitted = counts[-self.depth[match]] + 1
         keep = self.depth[node] + 1
-        new = (node, (*last, self.token[match])[-keep:], (*(c - emitted for c in counts), 0)[-keep:])
-        number = self.number.get(new)
+        return self.numbered((node, (*last, self.token[match])[-keep:], (*(c - emitted for c in counts), 0)[-keep:])), emitted
+
+    def numbered(self, state: tuple) -> int:
+        number = self.number.get(state)
         if number is None:
-            number = self.number[new] = len(self.states)
-            self.states.append(new)
-        return number, emitted
-
-    def counts(self, symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-        """The tokens that each symbol adds, from the first state on."""
-        if self.used > self.MOST_TRANSITIONS:
-            self.forget()
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+        return number
+
+    def entrances(self, grid: np.ndarray, heads: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The states in which the chunks of ``grid``, one a column, are entered.
+
+        Those marked in ``heads`` are entered in their one of ``states``, each other one where the
+        chunk before it is left.  The others are run from the first state, all side by side, and
+        then from each exit of the chunk before that they do not know yet.  So a chunk's map has
+        every state that may reach it, and these are few, as what stood long before is forgotten.
+        Maps are composed by doubling: of all entrances those stay that a head leads to.
+        """
+        m = len(heads)
+        at, state = np.arange(m), np.where(heads, states, 0)
+        goes_on = np.append(~heads[1:], False)
+        known, after = np.zeros(0, np.int64), np.zeros(0, np.int64)  # chunk << 32 | state
+        while len(at):
+            exits = state
+            for symbols in grid[:, at]:
+                exits = self.step(exits, symbols)[0].astype(np.int64)
+            own = at << 32 | state
+            follows = np.where(goes_on[at], at + 1 << 32 | exits, own)
+            known, after = np.append(known, own), np.append(after, follows)
+            new = np.setdiff1d(follows, known)
+            at, state = new >> 32, new & 0xFFFFFFFF
+        order = np.argsort(known)
+        known = known[order]
+        jump = np.searchsorted(known, after[order])
+        reached = np.zeros(len(known), bool)
+        reached[np.searchsorted(known, np.flatnonzero(heads) << 32 | states[heads])] = True
+        for _ in range(m.bit_length()):  # after each round, twice as many chunks behind a head
+            reached[jump[reached]] = True
+            jump = jump[jump]
+        return known[reached] & 0xFFFFFFFF
+
+    def counts(self, symbols: np.ndarray, chunk: int = CHUNK, section: int = SECTION) -> np.ndarray:
+        """The tokens that each symbol adds, from the first state on.
+
+        Sections (whole chunks) are worked one behind the other, so that a long word does not
+        keep all transitions it ever met.
+        """
+        added, state = [np.zeros(0, np.int32)], self.states[0]
+        for at in range(0, len(symbols), section):
+            if self.used > self.MOST_TRANSITIONS:
+                self.forget()
+            own, last = self.section_counts(symbols[at : at + section], self.numbered(state), chunk)
+            added.append(own)
+            state = self.states[last]
+        return np.concatenate(added)
+
+    def section_counts(self, symbols: np.ndarray, start: int, chunk: int) -> tuple[np.ndarray, int]:
+        """The tokens that each symbol adds, from the state ``start`` on, and the state behind the last chunk."""
         n = len(symbols)
         rows = -(-n // chunk)
         grid = np.full(rows * chunk, OUTSIDE, np.int16)
@@ -240,18 +289,19 @@ class Merger:
         for i in range(1, chunk):  # behind the first end of each chunk
             own = np.flatnonzero(closed & (first < i))
             exits[own], added[i, own] = self.step(exits[own], grid[i, own])
-        enter = np.zeros(rows, np.int64)
-        enter[1:] = exits[:-1]
-        for row in np.flatnonzero(~closed).tolist():
-            state = enter[row : row + 1] if not row or closed[row - 1] else exits[row - 1 : row]
+        enter = np.append(start, exits[:-1]).astype(np.int64)
+        whole = np.flatnonzero(~closed)
+        if len(whole):
+            enter[whole] = self.entrances(grid[:, whole], np.append(True, np.diff(whole) > 1), enter[whole])
+            state = enter[whole]
             for i in range(chunk):
-                state, added[i, row] = self.step(state, grid[i, row : row + 1])
-            exits[row] = state[0]
-            enter[row + 1 : row + 2] = state
+                state, added[i, whole] = self.step(state, grid[i, whole])
+            exits[whole] = state
+            enter[1:] = exits[:-1]
         for i in range(int(first.max(initial=-1, where=closed)) + 1):  # up to it
             own = np.flatnonzero(closed & (first >= i))
             enter[own], added[i, own] = self.step(enter[own], grid[i, own])
-        return added.T.reshape(-1)[:n]
+        return added.T.reshape(-1)[:n], int(exits[-1])
 
 
 def byte_characters() -> list[str]:
