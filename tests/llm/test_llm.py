@@ -468,8 +468,11 @@ def test_license_cases(spark, docs, none):
     lines = textwrap.wrap(notice, 40)
     rows = [(1, notice), (2, "\n".join(lines)), (3, "\n".join("# " + x for x in lines)), (4, "/*\n" + "\n".join("   * " + x for x in lines) + "\n */"), (5, "word " * 300 + "\n".join(lines) + " word" * 300)]
     rows += [(6, "\n".join(lines[: len(lines) // 2])), (7, " far ".join(f"{w} {'x ' * 40}" for w in notice.split()))]
+    # words of short templates in another order, or with others between them, are no notice
+    rows += [(8, "all our rights are reserved to all"), (9, "rights all the reserved wood"), (10, "(c) 2020 X. ALL RIGHTS\n # reserved."), (11, "y " * 40 + "Licensed under CC-BY-NC 4.0")]
+    rows += [(12, "4 0 licensed works by nc under cc"), (13, "You may not use this file, licensed under the\nApache License Version 2.0 (the License), except in compliance with the License")]
     met = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert met == {1: "mit", 2: "mit", 3: "mit", 4: "mit", 5: "mit", 6: "", 7: ""}
+    assert met == {1: "mit", 2: "mit", 3: "mit", 4: "mit", 5: "mit", 6: "", 7: "", 8: "", 9: "", 10: "reserved", 11: "cc", 12: "", 13: "apache"}
 
 
 def test_stages_on_nothing_and_on_clashing_columns(spark, docs, none):

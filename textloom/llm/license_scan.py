@@ -4,7 +4,10 @@ A text block is a window of words: for a template of L words, windows of 2 * spa
 words that start every span words, span being 1.25 L rounded up.  So each run of span
 words lies whole in a block, however a notice is wrapped over lines, indented or
 written behind comment marks (these are no words).  A block meets a template if it has
-at least ``threshold`` of the template's distinct words.  The join finds every such block:
+at least ``threshold`` of the template's distinct words.  The words of a template with
+fewer than ``SHORT`` distinct ones also stand in any talk of licences; of the blocks that
+the join finds for it only those count where its words stand one behind the other.
+The join finds every block that meets a template:
 
 * words are put in one global order, rarest in the corpus first;
 * a document with a block that meets a template shares a word with the template's
@@ -37,6 +40,7 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc", "licensed under cc by nc 4 0"),
@@ -49,6 +53,8 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: Words of a run in which a template is looked for, to the template's own.
 SLACK = 1.25
+#: Distinct words under which a template counts only where its words stand one behind the other.
+SHORT = 15
 #: What stands between words, in texts of either case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -79,6 +85,12 @@ def span_of(text: str) -> int:
     return ceil(SLACK * len(text.split()))
 
 
+def phrase_of(text: str) -> str | None:
+    """The words of a short template, which have to stand one behind the other."""
+    words = text.split()
+    return " ".join(words) if len(set(words)) < SHORT else None
+
+
 def blocks_meeting(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, template, block (number from 0), label, containment of every block that meets a template."""
     docs = ids_and_texts(docs)
@@ -92,8 +104,8 @@ def blocks_meeting(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
         words = sorted(words, key=place.get)
         required = ceil(threshold * len(words) - 1e-9)
         prefix = words[: len(words) - required + 1]
-        rows += [(w, number, label, i, words, prefix, required, span_of(text)) for i, w in enumerate(prefix)]
-    index = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, i int, words array<string>, prefix array<string>, required int, span int")
+        rows += [(w, number, label, i, words, prefix, required, span_of(text), phrase_of(text)) for i, w in enumerate(prefix)]
+    index = docs.sparkSession.createDataFrame(rows, "word string, template int, label string, i int, words array<string>, prefix array<string>, required int, span int, phrase string")
     firsts = sorted({r[0] for r in rows})
     likely = docs.where(F.arrays_overlap(F.split(F.lower("text"), BETWEEN), strings(firsts)))
     known = F.array_intersect(strings(order), lowered(F.split("text", BETWEEN)))  # in the global order
@@ -103,9 +115,14 @@ def blocks_meeting(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     left = F.least(F.size("words") - F.col("i"), F.size("known") - F.col("j"))
     first = F.array_intersect("prefix", "known")[0] == F.col("word")
     pairs = pairs.where(first & (F.size("known") >= F.col("required")) & (left >= F.col("required")) & (F.size(F.array_intersect("words", "known")) >= F.col("required")))
-    pairs = pairs.select("doc_id", "template", "label", "words", "required", "span", lowered(words_of(F.col("text"))).alias("own"))
+    pairs = pairs.select("doc_id", "template", "label", "words", "required", "span", "phrase", lowered(words_of(F.col("text"))).alias("own"))
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("own"), F.lit(1)) - 1) / F.col("span")).cast("int"))
-    common = F.transform(starts, lambda k: F.size(F.array_intersect("words", F.slice("own", k * F.col("span") + 1, 2 * F.col("span")))))
+
+    def met(block: Column) -> Column:
+        in_a_row = F.contains(F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
+        return F.when(F.col("phrase").isNull() | in_a_row, F.size(F.array_intersect("words", block))).otherwise(0)
+
+    common = F.transform(starts, lambda k: met(F.slice("own", k * F.col("span") + 1, 2 * F.col("span"))))
     blocks = pairs.select("doc_id", "template", "label", "required", F.size("words").alias("n"), F.posexplode(common).alias("block", "common"))
     return blocks.where(F.col("common") >= F.col("required")).select("doc_id", "template", "block", "label", (F.col("common") / F.col("n")).alias("containment"))
 
@@ -165,7 +182,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
 def scan_sql() -> str:
     """The same rows in DuckDB SQL, every block compared with every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    templates = ", ".join(f"('{label}', {words!r}, {span_of(text)})" for (label, words), (_, text) in zip(template_sets(TEMPLATES), TEMPLATES, strict=True))
+    quoted = lambda phrase: f"' {phrase} '" if phrase else "NULL"
+    templates = ", ".join(f"('{label}', {words!r}, {span_of(text)}, {quoted(phrase_of(text))})" for (label, words), (_, text) in zip(template_sets(TEMPLATES), TEMPLATES, strict=True))
     places = []
     for phrase, label in PHRASES.items():
         parts = phrase.split()
@@ -173,10 +191,10 @@ def scan_sql() -> str:
         places.append(f"list_transform(list_filter(range(len(w)), lambda i: {test}), lambda i: {{'s': i, 'l': '{label}'}})")
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{A_Z}', '{A_Z.lower()}') AS t FROM documents),
-t AS (SELECT * FROM (VALUES {templates}) AS v(label, words, span)),
+t AS (SELECT * FROM (VALUES {templates}) AS v(label, words, span, phrase)),
 w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
-b AS (SELECT doc_id, label, words, list_slice(w, k * span + 1, k * span + 2 * span) AS own FROM (SELECT doc_id, label, words, span, w, unnest(range((len(w) - 1) // span + 1)) AS k FROM w, t WHERE len(w) > 0)),
-c AS (SELECT doc_id, label, len(list_intersect(words, own)) AS n, len(words) AS m FROM b),
+b AS (SELECT doc_id, label, words, phrase, list_slice(w, k * span + 1, k * span + 2 * span) AS own FROM (SELECT doc_id, label, words, span, phrase, w, unnest(range((len(w) - 1) // span + 1)) AS k FROM w, t WHERE len(w) > 0)),
+c AS (SELECT doc_id, label, CASE WHEN phrase IS NULL OR contains(' ' || array_to_string(own, ' ') || ' ', phrase) THEN len(list_intersect(words, own)) ELSE 0 END AS n, len(words) AS m FROM b),
 m AS (SELECT doc_id, list(DISTINCT label) AS met, max(n / m) AS most FROM c WHERE n >= ceil({THRESHOLD} * m - 1e-9) GROUP BY doc_id),
 p AS (SELECT doc_id, len(w) AS n_words, list_concat({", ".join(places)}) AS p FROM w)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.s)) AS first_word, list_max(list_transform(p, lambda x: x.s)) AS last_word,
