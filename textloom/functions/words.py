@@ -83,6 +83,23 @@ def document_substitutions(text: Column, corpus: Column, own: Column, own_first:
     return F.aggregate(entries, text, lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?U)\b\Q"), e["key"], F.lit(r"\E\b")), literal(e["value"])))
 
 
+def element_orders(material: Column, lower: bool = True) -> Column:
+    """Sorted array of the different forms of a chemical formula with its elements (and their numbers) in any order.
+
+    With ``lower`` also each in lower case.  Forms grow with the factorial of the number of
+    elements; equal elements do not add any.  A text without elements has the empty form.
+    """
+
+    def inserted(orders: Column, element: Column) -> Column:
+        places = lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda k: F.concat(F.slice(p, F.lit(1), k), F.array(element), F.slice(p, k + 1, F.size(p))))
+        return F.array_distinct(F.flatten(F.transform(orders, places)))
+
+    elements = F.regexp_extract_all(material, F.lit("[A-Z][a-z]?[0-9]*"), 0)
+    orders = F.aggregate(elements, F.array(F.array().cast("array<string>")), inserted)
+    forms = F.transform(orders, lambda p: F.array_join(p, ""))
+    return F.array_sort(F.array_distinct(F.concat(forms, F.transform(forms, F.lower)) if lower else forms))
+
+
 def stem(word: Column, least: int = 3) -> Column:
     """The word with the first ending of ENDINGS that leaves ``least`` characters put right."""
     out = word

@@ -89,6 +89,23 @@ def expanded_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("License"))).select("doc_id", W.substitute(pairs)(F.col("text")).alias("replaced"))
 
 
+ELEMENTS = ["H2", "O", "Na", "Cl3", "Fe2", "O"]
+
+
+@query(
+    f"WITH e AS (SELECT {ELEMENTS} AS e), p AS (SELECT p_partkey, e[1 + p_partkey % 6] AS a, e[1 + p_size % 6] AS b, e[1 + (p_partkey + p_size) % 5] AS c FROM part, e), "
+    "f AS (SELECT p_partkey, unnest([a || b || c, a || c || b, b || a || c, b || c || a, c || a || b, c || b || a]) AS form FROM p) "
+    "SELECT DISTINCT p_partkey, form FROM (SELECT p_partkey, form FROM f UNION ALL SELECT p_partkey, lower(form) FROM f)"
+)
+def element_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three elements for each part, by its key and size, in all orders."""
+    elements = F.array(*map(F.lit, ELEMENTS))
+    at = lambda c: F.get(elements, c.cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    material = F.concat(at(key % 6), at(size % 6), at((key + size) % 5))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(W.element_orders(material)).alias("form"))
+
+
 @query("WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '-' || (1985 + event_id % 40) WHEN 1 THEN (1985 + event_id % 40) || '-' WHEN 2 THEN '1' || event_id WHEN 3 THEN '1850' ELSE (1985 + event_id % 40)::VARCHAR END AS given FROM events) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'before' WHEN event_id % 5 = 1 THEN 'after' WHEN event_id % 5 = 4 THEN 'is' WHEN event_id % 5 = 2 AND length(given) = 4 AND given::INT > 1900 THEN 'is' END AS kind, CASE WHEN event_id % 5 IN (0, 1, 4) THEN 1985 + event_id % 40 WHEN event_id % 5 = 2 AND length(given) = 4 AND given::INT > 1900 THEN given::INT END AS year FROM e")
 def year_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = (1985 + F.col("event_id") % 40).cast("string")
