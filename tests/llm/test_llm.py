@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from oracle import SMALL, assert_same
+from pyspark.sql import functions as F
 
 from textloom.llm import chat_format, decontaminate, license_scan, near_copies, ppm_score, quality_classifier, quality_rules, queries, sentencepiece_codec, simhash, suffix_dedup, token_counts
 
@@ -447,6 +448,39 @@ def test_learned_cutoffs_reject_and_keep(spark):
     assert kept == {i for i, r in found.items() if r["kept"]}
 
 
+def test_every_stratum_has_cutoffs(spark):
+    good, junk = "plain words that read like any other line of prose number {}", "### $$$ %%% | | | &&& word {} ### $$$ | and some more words to be long enough"
+    rows = [(s * 1000 + i, (junk if i % 10 == 0 else good).format(i), f"l{s:03}" if s else None) for s in range(115) for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 != 0) AS quality")
+    found = quality_rules.judge(docs, labels, risk=0.2).collect()
+    assert len(found) == len(rows) and all(r["kept"] == (r["doc_id"] % 10 != 0) for r in found)
+
+
+def test_large_values_are_told_apart(spark):
+    text = lambda i, n: " ".join(f"w{i}x{k}" + "#" * n for k in range(12))
+    docs = spark.createDataFrame([(i, text(i, 60 if i % 10 == 0 else 25), "xx") for i in range(400)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 != 0) AS quality")
+    found = quality_rules.judge(docs, labels, risk=0.1).collect()
+    assert all(r["rejected_by"] == ("symbols" if r["doc_id"] % 10 == 0 else "") for r in found)
+
+
+def test_certified_levels_equal_the_procedure(spark):
+    import random
+
+    draw = random.Random(5)
+    for strata, risk in ((1, 0.01), (7, 0.01), (60, 0.1), (150, 0.02)):
+        made = {None if k == 3 else f"l{k}": (n := draw.choice((80, 300, 700, 3000, 20_000)), sorted(int(n * risk * draw.random() ** 2 * draw.choice((0.3, 1, 1.6))) for _ in range(4))) for k in range(strata)}
+        rows = spark.createDataFrame([(k, *v) for k, v in made.items()], "lang string, n long, rejected array<long>")
+        found = {r["lang"]: r["level"] for r in quality_rules.certified_levels(rows, risk, 0.05).collect()}
+        assert found == quality_rules.certified(made, risk, 0.05) and found
+        tails = rows.select("n", F.explode("rejected").alias("k")).withColumn("tail", quality_rules.low_tail(F.col("n"), F.col("k"), risk))
+        for n, k, tail in tails.collect():
+            want = quality_rules.binomial_tail(n, k, risk)
+            assert abs(tail - want) <= 1e-9 * want if k < n * risk else tail == 1 and want >= 0.5
+    assert quality_rules.certified_levels(rows.where("false")).count() == 0
+
+
 def test_classifier_on_held_out_rows(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

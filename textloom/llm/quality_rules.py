@@ -14,11 +14,12 @@ documents, which are dealt into two halves by the hash of their doc_id:
   graphical procedure), so that with probability 1 - ``error`` no level in use rejects
   more than ``risk`` of the good documents of its stratum.
 
-A stratum without a certified level has no learned cutoffs; so have strata beyond the
-``MOST_STRATA`` with most labels, and those with too few labels to certify any.
+A stratum without a certified level has no learned cutoffs; so have strata whose
+labelled documents could not certify a level at the whole ``error``.
 
-Everything on documents is DataFrame expressions; the driver sees counts by stratum,
-rule and bin, whose number the parameters bound.
+Everything is DataFrame expressions, over any number of strata and bins; the driver sees
+how many strata there are and how many are certified to the last level.  Cutoffs are
+broadcast: a row for each stratum, which has ``least_tested`` labelled documents or more.
 
 Null texts have no words.  Null languages are a stratum of their own.  A doc_id with
 labels of both kinds counts as good.  Rows are kept as they come.
@@ -26,12 +27,12 @@ labels of both kinds counts as good.  Rows are kept as they come.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from math import exp, floor, lgamma, log, log1p
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.reports import numbered
 from ..shared import stage_folder
 from .common import checkpointed, fold
 
@@ -47,11 +48,11 @@ RULES = (
     ("repeated_lines", "n_dup_lines / greatest(n_lines, 1)"),
     ("repeated_words", "n_repeat_words / greatest(n_words, 1)"),
 )
-#: Values are compared in bins, so many to one; larger ones share the last.
-BINS, LAST_BIN = 200, 4000
+#: Values are compared in bins, so many to one; the cutoff that no bin exceeds.
+BINS, NO_CUT = 200, (1 << 63) - 1
 #: Levels, from mild to strict.
 LEVELS = (0.0, 0.001, 0.002, 0.003, 0.004, 0.006, 0.008, 0.012, 0.016, 0.024, 0.032, 0.05)
-RISK, ERROR, HALVES, MOST_STRATA = 0.01, 0.05, 2, 100
+RISK, ERROR, HALVES = 0.01, 0.05, 2
 
 
 def count_of(c: Column, pattern: str) -> Column:
@@ -105,7 +106,7 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 def bins() -> Column:
     """The bins of all rules' values, in the order of RULES."""
-    return F.array(*(F.least(F.floor(F.expr(value) * BINS), F.lit(LAST_BIN)).cast("int") for _, value in RULES))
+    return F.array(*(F.floor(F.expr(value) * BINS).cast("long") for _, value in RULES))
 
 
 def binomial_tail(n: int, k: int, p: float) -> float:
@@ -119,6 +120,7 @@ def certified(rejected: dict[str | None, tuple[int, list[int]]], risk: float, er
     """Index of the strictest certified level of each stratum that has one.
 
     rejected: good documents of the stratum, and how many of these each level rejects.
+    The procedure step by step on a few strata; ``certified_levels`` has its result for tables.
     """
     share, at = {k: error / len(rejected) for k in rejected}, dict.fromkeys(rejected, 0)
     moved = True
@@ -135,69 +137,84 @@ def certified(rejected: dict[str | None, tuple[int, list[int]]], risk: float, er
     return {k: i - 1 for k, i in at.items() if i}
 
 
+def low_tail(n: Column, k: Column, p: float) -> Column:
+    """P(X <= k) for X binomial(n, p), and 1 for k from the mean on, where it is 1/2 or more."""
+    below = F.least(k, F.ceil(n * p)).cast("int")
+    start = F.struct((n * log1p(-p)).alias("last"), F.lit(1.0).alias("sum"))  # log of the last term, and the sum in units of it
+
+    def step(x: Column, i: Column) -> Column:
+        ratio = (n - i + 1) / i * (p / (1 - p))
+        return F.struct((x["last"] + F.log(ratio)).alias("last"), (x["sum"] / ratio + 1).alias("sum"))
+
+    tail = F.aggregate(F.slice(F.sequence(F.lit(0), below), F.lit(2), below), start, step, lambda x: F.exp(x["last"]) * x["sum"])
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0)))
+
+
+def certified_levels(tested: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """``tested`` (with n and rejected, of each stratum) with level, the index of its strictest certified one, where it has one.
+
+    Strata without their last level have equal shares of the error at any time, so the
+    strata that reach it are those of Holm's procedure: in order of the share they need, each
+    finds the error divided by the number of strata not before it.
+    """
+    if not 0 < error < 0.5:
+        raise ValueError("error has to be over 0 and under 0.5")
+    tails = tested.withColumn("tails", F.transform("rejected", lambda k: low_tail(F.col("n"), k, risk)))
+    # a level needs the share of all levels up to it
+    needed = F.transform("tails", lambda _, i: F.array_max(F.slice("tails", F.lit(1), i + 1)))
+    strata = checkpointed(tails.withColumn("needed", needed).drop("tails"))
+    total = strata.count()
+    order = numbered(strata.select(F.element_at("needed", -1).alias("last")), "last")
+    reached = order.where(F.col("last") > error / (total - F.col("idx"))).agg(F.min("idx")).first()[0]
+    share = 1.0 if reached is None else error / (total - reached)
+    level = F.size(F.filter("needed", lambda x: x <= share)) - 1
+    return strata.withColumn("level", level).where("level >= 0").drop("needed")
+
+
 def least_tested(risk: float, error: float) -> int:
     """Good documents without a rejection that certify a level at the whole error."""
     return max(1, floor(log(error) / log1p(-risk)))
 
 
-def of_strata(values: dict[str | None, list]) -> list[Column]:
-    return [F.struct(F.lit(lang).cast("string").alias("lang"), F.array(*map(F.lit, x)).alias("cuts")) for lang, x in values.items()]
+def cutoffs(held: DataFrame) -> DataFrame:
+    """of (the stratum), cuts: for each rule and level the smallest bin that at most the level's share of the documents exceed."""
+    counts = held.select("lang", F.posexplode("bins").alias("rule", "bin")).groupBy("lang", "rule", "bin").agg(F.count("*").alias("n"))
+    # a value in bin b takes b / BINS characters, so texts of T bytes have some (2 * BINS * T) ** 0.5 bins
+    own = Window.partitionBy("lang", "rule")
+    placed = counts.withColumn("over", F.sum("n").over(own.orderBy(F.desc("bin")))).withColumn("total", F.sum("n").over(own))
+    cut = lambda level: F.max(F.when(F.col("over") > level / len(RULES) * F.col("total"), F.col("bin")))
+    cuts = placed.groupBy("lang", "rule").agg(F.array(*map(cut, LEVELS)).alias("cuts"))
+    return cuts.groupBy(F.col("lang").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "cuts"))), lambda x: x["cuts"]).alias("cuts"))
 
 
-def learn_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str | None, list[int]]:
-    """For each stratum with a certified level, the cutoff bins of RULES; values in a higher bin are rejected."""
+def learn_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """lang, cuts: for each stratum with a certified level, the cutoff bins of RULES; values in a higher bin are rejected."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = measured.join(good, "doc_id", "left_semi").where("NOT " + BASE).select("lang", fold(F.col("doc_id"), HALVES).alias("half"), bins().alias("bins"))
-    sizes = held.where("half = 0").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_tested(risk, error))
-    strata = {r["lang"]: r["n"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MOST_STRATA).collect()}
-    if not strata:
-        return {}
-    own = F.col("lang").isin([x for x in strata if x is not None])
-    held = held.where(own | F.col("lang").isNull() if None in strata else own)
-    counts = held.where("half != 0").select("lang", F.posexplode("bins").alias("rule", "bin")).groupBy("lang", "rule", "bin").agg(F.count("*").alias("n"))
-    found: dict = defaultdict(list)
-    for r in counts.collect():  # LAST_BIN + 1 rows at most of a stratum and rule
-        found[r["lang"], r["rule"]].append((r["bin"], r["n"]))
-    cuts = {lang: [cutoffs(found[lang, i]) for i in range(len(RULES))] for lang in strata}
+    held = checkpointed(held)
+    strata = held.where("half = 0").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_tested(risk, error))
+    none = F.array_repeat(F.array_repeat(F.lit(NO_CUT), len(LEVELS)), len(RULES))
+    table = strata.join(cutoffs(held.where("half != 0")), F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", F.coalesce("cuts", none).alias("cuts"))
+    table = checkpointed(table)
     # the first level whose cutoff a document exceeds, of any rule
-    table = held.sparkSession.range(1).select(F.inline(F.array(*of_strata({k: [x for c in v for x in c] for k, v in cuts.items()}))))
     tested = held.where("half = 0").withColumnRenamed("lang", "own").join(F.broadcast(table), F.col("own").eqNullSafe(F.col("lang")))
-
-    def passed(i: int) -> Column:
-        return F.size(F.filter(F.slice("cuts", i * len(LEVELS) + 1, len(LEVELS)), lambda c: c >= F.col("bins")[i]))
-
-    firsts = tested.groupBy("lang", F.least(*map(passed, range(len(RULES)))).alias("level")).agg(F.count("*").alias("n")).collect()  # a row per stratum and level
-    rejected = {lang: (n, [sum(r["n"] for r in firsts if r["lang"] == lang and r["level"] <= i) for i in range(len(LEVELS))]) for lang, n in strata.items()}
-    return {lang: [c[level] for c in cuts[lang]] for lang, level in certified(rejected, risk, error).items()}
-
-
-def cutoffs(counts: list[tuple[int, int]]) -> list[int]:
-    """For each level the smallest bin that at most its share of the counted values exceed."""
-    total, out = sum(n for _, n in counts), []
-    for level in LEVELS:
-        over, cut = 0, LAST_BIN
-        for value, n in sorted(counts, reverse=True):
-            cut = value
-            if (over := over + n) > level / len(RULES) * total:
-                break
-        out.append(cut)
-    return out
+    firsts = F.zip_with("bins", "cuts", lambda b, cuts: F.size(F.filter(cuts, lambda c: c >= b)))
+    firsts = tested.select("lang", F.array_min(firsts).alias("first"))
+    rejected = firsts.groupBy("lang").agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("first") <= i) for i in range(len(LEVELS)))).alias("rejected"))
+    levels = certified_levels(rejected, risk, error).select(F.col("lang").alias("of"), "level")
+    return table.join(levels, F.col("lang").eqNullSafe(F.col("of"))).select("lang", F.transform("cuts", lambda c: F.get(c, F.col("level"))).alias("cuts"))
 
 
 BASE = f"(n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words)"
 
 
-def verdicts(measured: DataFrame, cuts: dict[str | None, list[int]]) -> DataFrame:
+def verdicts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     """``measured`` with base_failed, rejected_by (rules over their cutoff) and kept."""
     rows = measured.withColumn("base_failed", F.expr(BASE))
-    if cuts:
-        table = measured.sparkSession.range(1).select(F.inline(F.array(*of_strata(cuts)))).withColumnRenamed("lang", "of")
-        rows = rows.join(F.broadcast(table), F.col("lang").eqNullSafe(F.col("of")), "left")  # MOST_STRATA rows at most
-        over = F.zip_with(bins(), "cuts", lambda b, c: b > c)
-        names = F.zip_with(F.array(*(F.lit(name) for name, _ in RULES)), over, lambda name, x: F.when(x, name))
-        rows = rows.withColumn("rejected_by", F.array_join(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull()), ",")).drop("of", "cuts")
-    else:
-        rows = rows.withColumn("rejected_by", F.lit(""))
+    rows = rows.join(F.broadcast(cuts.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left")
+    over = F.zip_with(bins(), "cuts", lambda b, c: b > c)
+    names = F.zip_with(F.array(*(F.lit(name) for name, _ in RULES)), over, lambda name, x: F.when(x, name))
+    rows = rows.withColumn("rejected_by", F.array_join(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: x.isNotNull()), ",")).drop("of", "cuts")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
