@@ -448,6 +448,15 @@ def test_learned_cutoffs_reject_and_keep(spark):
     assert kept == {i for i, r in found.items() if r["kept"]}
 
 
+def test_a_task_of_tokens_leaves_the_vocabulary_alone():
+    import pyarrow as pa
+
+    codec = sentencepiece_codec.codec(queries.PIECES)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [LONG, PASSAGE]})
+    done = list(sentencepiece_codec.ids_of_batches(iter([batch]), queries.PIECES))
+    assert done[0].column("lossless").to_pylist() == [True, True] and not codec.known and not codec.table.merges.known
+
+
 def test_every_stratum_has_cutoffs(spark):
     good, junk = "plain words that read like any other line of prose number {}", "### $$$ %%% | | | &&& word {} ### $$$ | and some more words to be long enough"
     rows = [(s * 1000 + i, (junk if i % 10 == 0 else good).format(i), f"l{s:03}" if s else None) for s in range(115) for i in range(130)]

@@ -43,7 +43,7 @@ from ..graph.components import connected_components
 from ..shared import written
 from .arrays import shingles_of_texts
 from .bitmap import with_bitmap
-from .common import checkpointed, runs_of_rows
+from .common import checkpointed, lean, runs_of_rows
 from .simhash import near_links
 
 SHINGLE = 5
@@ -108,7 +108,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
             arrays = [batch.column("doc_id"), batch.column("row_hash"), pa.array(class_keys(hashes, begin)), pa.array(np.diff(begin).astype(np.int32)), pa.array(prints.view(np.int64)), lists]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_hash", "class", "n", "fp", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, class long, n int, fp long, odd array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, row_hash long, class long, n int, fp long, odd array<long>")
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             value, n = np.unique(shingle_sets(batch.column("text").to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "shingle long, n long")
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(lean(run), "shingle long, n long")
     often = part.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
     rows = often.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     value = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
@@ -153,7 +153,7 @@ def first_shingles(docs: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values)) for values in (hashes[own].view(np.int64), salts)]
             yield pa.RecordBatch.from_arrays([pa.array(class_keys(hashes, begin)), pa.array(size.astype(np.int32)), *lists], ["class", "n", "first", "salts"])
 
-    rows = docs.mapInArrow(run, "class long, n int, first array<long>, salts array<int>")
+    rows = docs.mapInArrow(lean(run), "class long, n int, first array<long>, salts array<int>")
     return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "first", "salts")))  # equal in all rows of a class
 
 
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                             b.append(max(key, other))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(run, "a long, b long")
+    return placed.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(lean(run), "a long, b long")
 
 
 def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:

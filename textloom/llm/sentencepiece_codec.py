@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, PrefixTable, greedy
-from .common import ids_and_texts, runs_of_rows
+from .common import ids_and_texts, lean, runs_of_rows
 
 MARK = "▁"
 REMEMBERED = 300_000
@@ -101,6 +101,11 @@ class Codec:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Leaves what the vocabulary gives alone; encodings of cuts and answers about pairs go."""
+        self.known.clear()
+        self.table.merges.known.clear()
+
     @property
     def bytes_of(self) -> list[bytes]:
         """UTF-8 of each id's piece, space marks as spaces."""
@@ -125,18 +130,22 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_ids(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids array<int>, lossless (decoding gave the text back)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+def ids_of_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """A task of ``encode_ids``; the worker keeps the vocabulary alone."""
+    c = codec(path)
+    try:
         for batch in runs_of_rows(batches):
             texts = batch.column("text").to_pylist()
             ids = [c.encode(t) for t in texts]
             same = [c.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "lossless"])
+    finally:
+        c.forget()
+
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
+def encode_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, lossless (decoding gave the text back)."""
+    return ids_and_texts(docs).mapInArrow(lean(lambda batches: ids_of_batches(batches, path)), "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
