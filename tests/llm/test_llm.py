@@ -244,6 +244,49 @@ def test_repeats_equal_brute_force(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_a_task_of_repeats_holds_few_copies_of_its_batch():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw, texts = random.Random(3), []
+    while sum(map(len, texts)) < suffix_dedup.BATCH:
+        texts.append("".join(map(chr, draw.choices(range(97, 123), k=40_000))))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    rows = sum(suffix_dedup.rows_in(data) for _, data in suffix_dedup.stretches(iter([batch]), 8, 50, 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows * 17 > suffix_dedup.BATCH and peak < 7 * suffix_dedup.BATCH
+
+
+@pytest.mark.parametrize("piece", [60, 700, 10_000])
+def test_repeats_are_the_same_for_any_piece(monkeypatch, piece):
+    from textloom.llm.packed import unpack_all
+
+    def gone():
+        made = list(suffix_dedup.stretches(iter([batch]), 1, 50, 20))
+        spans = [d for b, d in made if b < 0]
+        for kind, data in suffix_dedup.settled(iter([(b, d) for b, d in made if b >= 0]), 50, suffix_dedup.WIDE, suffix_dedup.FULL):
+            if kind == "remove":
+                spans.append(data)
+            else:
+                ids, start, stop, gram = unpack_all([data])
+                part = [texts[i][a:z].encode() for i, a, z in zip(ids.tolist(), start.tolist(), stop.tolist(), strict=True)]
+                spans += suffix_dedup.compare([suffix_dedup.pack(ids, start, stop - start, gram)], part, 50)
+        return {(i, k) for d in spans for i, a, z in zip(*(c.tolist() for c in unpack_all([d])), strict=True) for k in range(a, z)}
+
+    import pyarrow as pa
+
+    words = LONG[:6000]
+    texts = [words, words[900:2900] + " between " + words[100:160] + words[4000:], "x" + words]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "text": texts})
+    whole = gone()
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    assert gone() == whole and (2, 1) in whole and (2, 0) not in whole
+
+
 def test_wide_anchors_and_full_buckets(spark, docs):
     import numpy as np
 

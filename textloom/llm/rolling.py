@@ -11,7 +11,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
+        size = max(n + n // 8, 1 << 16)  # what a worker keeps is little more than what it needs
         have = _powers[base] = np.multiply.accumulate(np.full(size, base, np.uint64))
     return have[:n]
 
@@ -32,7 +32,11 @@ class RangeHashes:
         n = len(data)
         self.back = powers(pow(BASE, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=self.sums[1:])
+        terms = self.sums[1:]
+        terms += data
+        terms += np.uint64(1)
+        terms *= powers(BASE, n)
+        np.cumsum(terms, out=terms)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
@@ -40,4 +44,7 @@ class RangeHashes:
     def of_every(self, size: int) -> np.ndarray:
         """Hashes of the ranges of ``size`` bytes at every start."""
         n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.back[:n] + np.uint64(size))
+        sums = self.sums[size:] - self.sums[:n]
+        sums *= self.back[:n]
+        sums += np.uint64(size)
+        return mix(sums)

@@ -44,14 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import with_bitmap
-from .common import checkpointed, ids_and_texts, pieces_for, runs_of_rows, text_bytes
+from .common import checkpointed, ids_and_texts, lean, pieces_for, runs_of_rows, text_bytes
 from .packed import pack, rows_in, unpack_all
 from .rolling import RangeHashes
 
 LENGTH = 50
 ANCHOR = 20
 #: Longer texts are hashed in pieces that overlap by a window.
-PIECE = 1_000_000
+PIECE = 250_000
 #: Text bytes whose anchors are combined before they travel, and those behind one bucket.
 BATCH, BUCKET = 12_000_000, 5_000_000
 #: Different stretches of one anchor that are compared in one task, and stretches of one bucket that are held at once.
@@ -124,6 +124,13 @@ def first_of_run(head: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(head)[np.cumsum(head) - 1]]
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts one behind another; the list is empty then."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     """Anchors have the smallest hashes of their windows, so these are mixed before they are dealt."""
     return ((gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -131,24 +138,35 @@ def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anchor: int) -> Iterator[tuple[int, bytes]]:
     """Packed stretches by bucket; what the batch itself shows to be removed has bucket -1."""
-    found, size = [], 0
+    found, size = tuple([] for _ in range(5)), 0
 
     def flush() -> Iterator[tuple[int, bytes]]:
-        ids, start, last, gram, stretch = map(np.concatenate, zip(*found, strict=True))
+        # one column at a time, so that no second copy of all of them is held
+        columns = [joined(parts) for parts in found]
+
+        def put_in(order: np.ndarray) -> None:
+            for i, c in enumerate(columns):
+                columns[i] = c[order]
+
+        ids, _, _, gram, stretch = columns
         order = np.argsort(ids, kind="stable")
         order = order[np.argsort((gram << np.uint64(16) ^ stretch)[order], kind="stable")]
-        ids, start, last, gram, stretch = (x[order] for x in (ids, start, last, gram, stretch))
+        del ids, gram, stretch
+        put_in(order)
+        ids, start, n, gram, stretch = columns
         gone = first_of_run(heads(gram, stretch), ids) < ids
         if gone.any():
-            yield -1, pack(ids[gone], start[gone], last[gone] + length)
-        ids, start, n, gram, stretch = (x[~gone] for x in (ids, start, (last - start).astype(np.uint8), gram, stretch))
-        bucket = bucket_of(gram, buckets)
-        order = np.argsort(bucket, kind="stable")
-        ids, start, n, gram, stretch, bucket = (x[order] for x in (ids, start, n, gram, stretch, bucket))
+            first = start[gone].astype(np.int64)
+            yield -1, pack(ids[gone], first, first + n[gone] + length)
+        order = np.flatnonzero(~gone)
+        order = order[np.argsort(bucket_of(gram[order], buckets), kind="stable")]
+        del ids, start, n, gram, stretch, gone
+        put_in(order)
+        del order
+        bucket = bucket_of(columns[3], buckets)
         cut = np.append(np.flatnonzero(heads(bucket)), len(bucket))
         for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            part = slice(a, z)
-            yield int(bucket[a]), pack(ids[part], start[part].astype(np.uint32), n[part], gram[part], stretch[part])
+            yield int(bucket[a]), pack(*(c[a:z] for c in columns))
 
     for batch in runs_of_rows(batches):
         keep = batch.column("doc_id").is_valid()
@@ -156,12 +174,13 @@ def stretches(batches: Iterator[pa.RecordBatch], buckets: int, length: int, anch
         texts = [t.encode() for t in batch.column("text").to_pylist()]
         ids = batch.column("doc_id").to_numpy()
         size += sum(map(len, texts))
-        for number, *rest in anchors(texts, length, anchor):
-            found.append((ids[number], *rest))
-        if size >= BATCH and found:
+        for number, start, last, gram, stretch in anchors(texts, length, anchor):
+            for parts, c in zip(found, (ids[number], start.astype(np.uint32), (last - start).astype(np.uint8), gram, stretch), strict=True):
+                parts.append(c)
+        if size >= BATCH and found[0]:
             yield from flush()
-            found, size = [], 0
-    if found:
+            size = 0
+    if found[0]:
         yield from flush()
 
 
@@ -297,10 +316,11 @@ def previous_factors(ids: np.ndarray, gram: np.ndarray, size: np.ndarray, data:
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, width)[begin[number] + offset]
     rows[np.arange(width) >= left[:, None]] = 0
-    words = rows.view(">u8").astype(np.uint64)
     doc = ids[number]
-    order = np.lexsort((doc, *words.T[::-1], gram[number]))
-    doc, shared = doc[order], common_prefixes(rows[order], left[order], heads(gram[number][order]))
+    order = np.lexsort((doc, *rows.view(">u8").astype(np.uint64).T[::-1], gram[number]))
+    rows = rows[order]
+    doc, shared = doc[order], common_prefixes(rows, left[order], heads(gram[number][order]))
+    del rows
     before = match_with_smaller(doc, shared, length)
     after = match_with_smaller(doc[::-1], np.append(0, shared[:0:-1]), length)[::-1]
     return number[order], offset[order], np.maximum(before, after)
@@ -377,7 +397,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         rows = (row for b in batches for row in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True))
         return binary_rows(settled(rows, length, wide, full), kinds)
 
-    placed = docs.mapInArrow(put, "bucket long, data binary")
+    placed = docs.mapInArrow(lean(put), "bucket long, data binary")
     spread = F.when(F.col("bucket") < 0, F.abs(F.xxhash64("data")) % buckets).otherwise(F.col("bucket"))
     met = checkpointed(placed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(meet, "kind string, data binary"))
 
@@ -419,8 +439,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             for data in compare(blobs, parts, length):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack_all([data])], ["doc_id", "start", "stop"])
 
-    fetched = whole.join(wanted, "doc_id", "left").mapInArrow(fetch, "bucket long, data binary, bytes binary")
-    matched = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start long, stop long")
+    fetched = whole.join(wanted, "doc_id", "left").mapInArrow(lean(fetch), "bucket long, data binary, bytes binary")
+    matched = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(match), "doc_id long, start long, stop long")
     out = removed.unionByName(matched)
 
     seen = {r["kind"] for r in met.select("kind").distinct().collect()}
@@ -449,7 +469,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     by_doc = held.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "gram")).alias("held"))
     by_doc = checkpointed(by_doc)
-    spread_out = with_bitmap(docs, by_doc.select("doc_id")).where("maybe").drop("maybe").join(by_doc, "doc_id").mapInArrow(unfold, "doc_id long, start long, last long, gram long, window long, here long")
+    spread_out = with_bitmap(docs, by_doc.select("doc_id")).where("maybe").drop("maybe").join(by_doc, "doc_id").mapInArrow(lean(unfold), "doc_id long, start long, last long, gram long, window long, here long")
     spread_out = checkpointed(spread_out)
     span = ["doc_id", "start", (F.col("last") + length).alias("stop")]
     out = out.unionByName(spread_out.where("doc_id > here").select(*span))
@@ -487,7 +507,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = with_spans(ids_and_texts(docs), length, anchor)
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -512,6 +532,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest") if rest else F.lit(0).alias("rest"))
-    out = with_spans(rows, length, anchor).mapInArrow(run, rows.schema)
+    out = with_spans(rows, length, anchor).mapInArrow(lean(run), rows.schema)
     out = out.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
