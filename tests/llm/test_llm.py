@@ -197,6 +197,28 @@ def test_pipeline_drops_near_copies(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, SMALL).collect()] == [1]
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    import gc
+    import time
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if re.search(r"/shuffle_\d+_\d+_\d+\.data$", f)}
+    text = [f"v{i * 7919 % 1009}" for i in range(100)]
+    rows = spark.createDataFrame([(i, " ".join([*text[: 100 - i], *(f"w{j}" for j in range(i))])) for i in range(1, 30)], "doc_id long, text string")
+    before, held = shuffled(), gc.isenabled()
+    gc.disable()  # what is left must not wait for a collection
+    try:
+        near_copies.one_of_each_group(rows)
+        wait = time.time() + 20  # files go in the background
+        while shuffled() - before and time.time() < wait:
+            time.sleep(0.5)
+        assert not shuffled() - before
+    finally:
+        if held:
+            gc.enable()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_crowded_keys_link_like_pairs(spark):
     import random
 

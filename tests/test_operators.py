@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,6 +15,30 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {found[k] for k in range(1, 41)} == {1} and {found[k] for k in range(100, 160)} == {100} and found[500] == 499
 
 
+def test_stars_need_no_round_and_leave_one_table(spark):
+    from textloom.graph import components as module
+
+    tables = []
+
+    def cut(df):
+        tables.append(module.written(df))
+        return tables[-1]
+
+    star = spark.createDataFrame([(1, n) for n in range(2, 30)] + [(40, 41)], "src long, dst long")
+    found = {r["node"]: r["component"] for r in connected_components(star, cut=cut).collect()}
+    assert found == {n: 1 for n in range(1, 30)} | {40: 40, 41: 40} and len(tables) == 1
+    tables.clear()
+    chain = spark.createDataFrame([(n, n + 1) for n in range(60)], "src long, dst long")
+    was, module.written = module.written, lambda df: tables.append(was(df)) or tables[-1]
+    try:
+        out = connected_components(chain, cut=module.written)
+    finally:
+        module.written = was
+    there = [Path(t.inputFiles()[0].removeprefix("file:")).exists() for t in tables]
+    assert len(tables) > 2 and there == [False] * (len(tables) - 1) + [True]
+    assert {r["component"] for r in out.collect()} == {0} and out.count() == 61
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph.components import connected_components
-from ..shared import written
+from ..shared import shuffles_dropped, written
 from .arrays import shingles_of_texts
 from .bitmap import with_bitmap
 from .common import checkpointed, lean, runs_of_rows
@@ -267,6 +267,11 @@ def with_components(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
+def stars(components: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is in one component already: each class with the smallest one."""
+    return components.where("class != component").select(F.col("class").alias("a"), F.col("component").alias("b"))
+
+
 def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """The pairs (a, b, weight) whose ends are in different components."""
     of = lambda c: components.select(F.col("class").alias(c), F.col("component").alias(f"component_{c}"))
@@ -339,16 +344,15 @@ def links(docs: DataFrame, prints: DataFrame, reps: DataFrame) -> DataFrame:
     calm = checkpointed(alike_pairs(calm_pairs(held), prints))
     more = alike_pairs(centre_pairs(crowd).unionByName(fingerprint_pairs(prints)), prints)
     tried = checkpointed(best_pairs(calm.unionByName(more).groupBy("a", "b").agg(F.sum("weight").alias("weight"))))
-    found = checkpointed(verified(tried, docs, reps))
+    components = checkpointed(with_components(reps.select("class"), checkpointed(verified(tried, docs, reps))))
     for _ in range(ROUNDS):
-        components = checkpointed(with_components(reps.select("class"), found))
         rest, calm = mixed_crowd(crowd, components, prints), checkpointed(apart(calm, components))
         now = checkpointed(best_pairs(calm.unionByName(pairs_with_centres(rest))).join(tried, ["a", "b"], "left_anti"))
-        tried, found = tried.unionByName(now), found.unionByName(checkpointed(verified(now, docs, reps)))
-    components = checkpointed(with_components(reps.select("class"), found))
+        tried, found = tried.unionByName(now), checkpointed(verified(now, docs, reps))
+        components = checkpointed(with_components(reps.select("class"), stars(components).unionByName(found)))
     more = apart(calm, components).select("a", "b").unionByName(crowd_pairs(mixed_crowd(crowd, components, prints))).distinct()
     more = checkpointed(sharing_enough(more.join(tried, ["a", "b"], "left_anti"), held, prints))
-    return found if more.isEmpty() else found.unionByName(verified(more, docs, reps))
+    return stars(components) if more.isEmpty() else stars(components).unionByName(verified(more, docs, reps))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -367,7 +371,8 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id that links of similar texts reach), for rows with doc_id."""
-    return grouped(docs).select("doc_id", "component_id")
+    with shuffles_dropped(docs.sparkSession):
+        return grouped(docs).select("doc_id", "component_id")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -377,7 +382,12 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     with the smallest XXH64 (seed 42) of all columns.  Rows that share a doc_id but have
     no similar texts are in different groups, and each stays.
     """
-    groups = checkpointed(grouped(docs))
+    with shuffles_dropped(docs.sparkSession):
+        return kept_rows(docs, checkpointed(grouped(docs)))
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each_group`` keeps of these groups."""
     shared = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_hash")).alias("first")).where("n > 1")
     shared = checkpointed(shared.select("component", "first"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
