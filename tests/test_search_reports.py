@@ -108,3 +108,23 @@ def test_empty_reports(spark, papers):
         assert table(none).count() == 0
     assert reports.fuzzy_groups(none, "affiliation").count() == 0 and reports.top_in_cluster(none, "author", 3).count() == 0
     assert search.build_index(papers.where("false")).count() == 0
+
+
+def test_top_predicted_equals_scores_of_all_pairs(spark):
+    from textloom.operators import reports as R
+
+    left = spark.createDataFrame([(r, k, 0.5 + k) for r in range(9) for k in ((r % 3,) if r < 6 else (r % 3, 2))] + [(0, 0, 0.25), (None, 1, 1.5)], "row long, k long, w double")
+    right = spark.createDataFrame([(k, c, float((c * (k + 2)) % 7)) for k in range(3) for c in range(12)], "k long, col long, h double")
+    bias = spark.createDataFrame([(c, c % 2 / 4) for c in range(0, 12, 3)], "col long, b double")
+    known = spark.createDataFrame([(r, c) for r in range(9) for c in range(12) if (r * c) % 4 == 1 or r == 4] + [(1, 1), (1, 99), (None, 3)], "row long, col long")
+    whole = R.top_unknown(R.predicted(left, right, col_bias=bias, mean=3.0), known, 4)
+    got = R.top_predicted(left, right, known, 4, col_bias=bias, mean=3.0)
+    rows = lambda df: sorted((str(r["row"]), r["place"], r["col"], round(r["score"], 9)) for r in df.collect())
+    assert rows(got) == rows(whole) and got.where("row = 4").isEmpty() and got.where("row IS NULL").count() == 4
+
+
+def test_recommendations_make_no_row_for_each_pair(spark):
+    from textloom.plans.queries import QUERIES
+
+    plan = QUERIES["recommendations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # columns are put in order once a profile, beforehand

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lower_tokens
 from ..graph.components import connected_components
-from ..shared import checkpointed
+from ..shared import checkpointed, written
 from .stats import mode_map
 from .text import postings
 
@@ -234,6 +234,29 @@ def predicted(left: DataFrame, right: DataFrame, row_bias: DataFrame | None = No
     return out.withColumn("score", F.col("score") + mean)
 
 
+def top_predicted(left: DataFrame, right: DataFrame, known: DataFrame, n: int, col_bias: DataFrame | None = None, mean: float = 0.0) -> DataFrame:
+    """``top_unknown`` of ``predicted``: row, col, score, place, without a score for every row and column.
+
+    Rows with the same factors (k, w) are one profile, whose columns are scored and put in
+    order once.  A row's n best unknown columns stand among the first n + s of its profile, of
+    which it knows s, so a profile's list ends at n and the most that a row knows.  Work grows
+    with profiles times columns; where all rows differ it is that of all pairs.  ``known`` is
+    read twice.
+    """
+    rows = left.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("profile"))
+    profiles = written(rows.select("profile").distinct().withColumn("id", F.monotonically_increasing_id()))
+    owners = rows.join(profiles, "profile").select("row", "id")
+    most = known.where("row IS NOT NULL").groupBy("row").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    scores = predicted(profiles.select(F.col("id").alias("row"), F.inline("profile")), right, col_bias=col_bias, mean=mean)
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "col"))
+    listed = written(scores.withColumn("place", place).where(F.col("place") <= n + most).select(F.col("row").alias("id"), "col", "score", "place"))
+    met = known.join(listed.select("col").distinct(), "col").join(owners, "row").join(listed, ["id", "col"])
+    taken = met.groupBy("row").agg(F.collect_set("place").alias("taken"))
+    free = F.when(F.col("taken").isNull(), F.sequence(F.lit(1), F.lit(n))).otherwise(F.slice(F.array_except(F.sequence(F.lit(1), F.size("taken") + n), F.col("taken")), 1, n))
+    wanted = owners.join(taken, "row", "left").select("row", "id", F.posexplode(free).alias("at", "place"))
+    return wanted.join(listed, ["id", "place"]).select("row", "col", "score", (F.col("at") + 1).alias("place"))
+
+
 def divergence(x: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
     """kl: sum over all cells of x ln(x / y) - x + y, y = w h; error: ‖x - y‖ / ‖x‖.
 

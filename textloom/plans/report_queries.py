@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators import tensor
+from ..shared import shuffles_dropped, written
 from .queries import LOW, POSTINGS, REFERENCES, TERMS, query, quoted, references, table
 
 LINES = (
@@ -190,12 +191,12 @@ SALES = "sales AS (SELECT c_nationkey AS k, l_suppkey AS col, sum(l_quantity) AS
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers a customer has not bought from, by what the customer's nation buys there."""
     orders = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    customers = table(spark, sf_dir, "customer")
-    users = customers.select(F.col("c_custkey").alias("row"), F.col("c_nationkey").alias("k"), F.lit(0.5).alias("w"))
-    sales = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("k"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("h"))
+    with shuffles_dropped(spark):
+        bought = written(orders.groupBy(F.col("o_custkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("h")))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), F.col("c_nationkey").alias("k"))
+    sales = bought.join(customers, "row").groupBy("k", "col").agg(F.sum("h").alias("h"))
     bias = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("col")).agg((F.count("*") * 0.01).alias("b"))
-    known = orders.select(F.col("o_custkey").alias("row"), F.col("l_suppkey").alias("col"))
-    return R.top_unknown(R.predicted(users, sales, col_bias=bias, mean=3.0), known, 5).withColumn("score", F.round("score", 6))
+    return R.top_predicted(customers.withColumn("w", F.lit(0.5)), sales, bought, 5, col_bias=bias, mean=3.0).withColumn("score", F.round("score", 6))
 
 
 FACTORS = "x AS (SELECT o_custkey % 40 AS \"row\", l_suppkey AS col, sum(l_quantity) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), w AS (SELECT DISTINCT \"row\", k, 1.0 + (\"row\" * 3 + k) % 5 AS w FROM x, range(3) r(k)), h AS (SELECT DISTINCT k, col, 2.0 + (col + k * 7) % 11 AS h FROM x, range(3) r(k))"
