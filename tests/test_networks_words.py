@@ -61,6 +61,30 @@ def test_acronyms_and_substitutions(spark):
     assert {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", W.stem(F.col("w"))).collect()} == words
 
 
+def test_acronyms_look_at_each_place_once(spark):
+    import random
+    import time
+
+    def by_hand(words):
+        out = []
+        for n in range(2, 8):
+            for word, start in ((-1, 1), (n, 0)):
+                for i in range(len(words)):
+                    run, at = words[i + start : i + start + n], i + n if start == 0 else i
+                    if len(run) == n and at < len(words) and words[at] == "".join(w[0] for w in run):
+                        out.append((words[at], " ".join(run)))
+        return list(dict.fromkeys(out))
+
+    draw = random.Random(3)
+    texts = [["".join(draw.choice("abé") for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(0, 60))] for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "w array<string>").select("w", W.acronyms(F.col("w")).alias("a")).collect()
+    assert all([tuple(x) for x in r["a"]] == by_hand(r["w"]) for r in rows) and sum(len(r["a"]) for r in rows) > 50
+    long = spark.createDataFrame([(["w%d" % i for i in range(300_000)] + ["ww"],), (None,), ([],)], "w array<string>")
+    began = time.time()
+    assert [len(r[0] or []) for r in long.select(W.acronyms(F.col("w"))).collect()] == [1, 0, 0]
+    assert time.time() - began < 15
+
+
 def test_authors(spark):
     left = spark.createDataFrame([(1, 1, "Doe, Jane"), (2, 1, "Doe, Jane"), (1, 2, "Roe, A."), (3, 3, None)], "paper int, id long, name string")
     right = spark.createDataFrame([(1, 11, "jane doe"), (2, 11, "Jane Doe"), (2, 12, "Jane Dow"), (1, 13, "A Roe"), (3, 14, "")], "paper int, id long, name string")

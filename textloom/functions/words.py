@@ -1,9 +1,12 @@
-"""Acronyms, substitutions and stems as Column expressions."""
+"""Acronyms, substitutions and stems as Columns."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,29 +14,60 @@ from pyspark.sql import functions as F
 ENDINGS = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("iveness", "ive"), ("ousness", "ous"), ("sses", "ss"), ("ies", "y"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", "")]
 
 
-def _pairs(words: Column, n: int, word: int, start: int):
-    """For a place: the word there + ``word`` (from 0), n words from there + ``start`` (from 1) and their initials."""
-
-    def at(i: Column) -> Column:
-        run = F.slice(words, i + start, n)
-        return F.struct(F.get(words, i + word).alias("acronym"), F.array_join(run, " ").alias("expansion"), F.array_join(F.transform(run, lambda w: F.substring(w, 1, 1)), "").alias("initials"))
-
-    return at
+def _characters(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 character at each place as a number, and the place behind it; -1 where a word has ended."""
+    byte = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int64)
+    lead = byte(0)
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead
+    for k in range(1, 4):
+        code = np.where(size > k, code << 8 | byte(k), code)
+    return np.where(at < end, code, -1), at + size
+
+
+def _acronyms_in(lists: pa.ListArray, shortest: int, longest: int) -> list[list[tuple[str, str]]]:
+    found: list[dict[tuple[str, str], None]] = [{} for _ in range(len(lists))]  # a dict keeps the order and each pair once
+    bounds, words = lists.offsets.to_numpy().astype(np.int64), lists.values
+    if not len(words) or not words.get_total_buffer_size():
+        return [[] for _ in found]
+    words = words.cast(pa.large_string())
+    places = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+    n_chars = pc.fill_null(pc.utf8_length(words), 0).to_numpy()
+    firsts = _characters(data, places[:-1], places[1:])[0]
+    row = np.repeat(np.arange(len(lists)), np.diff(bounds))
+    low, high = bounds[0], bounds[-1]
+    for n in range(shortest - 1, longest):
+        own = low + np.flatnonzero(n_chars[low:high] == n)
+        for shift in (1, -n):
+            first = bounds[row[own - low]] if shift < 0 else own + 1
+            last = bounds[row[own - low] + 1]
+            at = own[(own + shift >= first) & (own + shift + n <= last)]
+            place = places[at]
+            for k in range(n):
+                code, behind = _characters(data, place, places[at + 1])
+                same = code == firsts[at + shift + k]
+                at, place = at[same], behind[same]
+            for i in at.tolist():
+                found[row[i - low]][words[i].as_py(), " ".join(words[i + shift : i + shift + n].to_pylist())] = None
+    return [list(x) for x in found]
 
 
 def acronyms(words: Column, shortest: int = 3, longest: int = 8) -> Column:
     """Structs (acronym, expansion) for each run of words whose initials are the word before or after it.
 
-    Words are lower case; a run has shortest - 1 to longest - 1 words.  Different pairs, in order of place.
+    Words are lower case; a run has shortest - 1 to longest - 1 words.  Different pairs, those
+    of fewer words first, then those before their run, then in order of place.  A word stands for
+    as many words as it has characters, so a place has two runs at most; all places of an
+    Arrow batch are compared at once, character by character.
     """
-    found = []
-    for n in range(shortest - 1, longest):
-        starts = F.when(F.size(words) > n, F.sequence(F.lit(1), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
 
-        for word, start in ((-1, 1), (n - 1, 0)):
-            pairs = F.transform(starts, _pairs(words, n, word, start))
-            found.append(F.filter(pairs, lambda p: p["acronym"] == p["initials"]))
-    return F.array_distinct(F.transform(F.concat(*found), lambda p: F.struct(p["acronym"].alias("acronym"), p["expansion"].alias("expansion"))))
+    @F.arrow_udf("array<struct<acronym:string,expansion:string>>")
+    def run(lists: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("acronym", pa.string()), ("expansion", pa.string())]))
+        return pa.array([[dict(zip(("acronym", "expansion"), x, strict=True)) for x in pairs] for pairs in _acronyms_in(lists, shortest, longest)], kind)
+
+    return run(words)
 
 
 def check_substitutions(pairs: dict[str, str]) -> None:
