@@ -131,3 +131,27 @@ def test_rating_and_logistic_models(spark):
     assert error < float(x.std())
     losses = hierarchy.logistic_factors(frame.withColumn("v", (F.col("v") > mean).cast("int")), rank=2, rounds=8, rate=1.0)[2]
     assert losses[-1] < losses[0]
+
+
+def odd_documents(spark, folder):
+    """Repeated and missing ids, missing texts, white space of all kinds: some of it parts no words."""
+    texts = ["A a\tB\n\nc", "b c d É é", None, "", "  ", "c d e f", "İx a ß", "a b c d e f g h", "c d g h", "e f g h a"]
+    rows = [(None if k % 11 == 7 else k % 23, texts[k % len(texts)]) for k in range(70)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_tf_idf_of_odd_documents_moves_texts_once(spark, tmp_path):
+    import duckdb
+    from oracle import sorted_rows
+
+    from textloom.plans.queries import ORACLE, QUERIES
+
+    folder = odd_documents(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got, told = QUERIES["tf_idf"](spark, folder), con.execute(ORACLE["tf_idf"])
+    names = [x[0] for x in told.description]
+    expected = told.fetchall()
+    assert len(expected) > 50 and sorted_rows(got.columns, got.collect()) == sorted_rows(names, expected)
+    assert "hashpartitioning(doc_id" not in got._jdf.queryExecution().executedPlan().toString()
