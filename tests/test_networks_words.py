@@ -135,7 +135,7 @@ def test_rating_and_logistic_models(spark):
 
 def odd_documents(spark, folder):
     """Repeated and missing ids, missing texts, white space of all kinds: some of it parts no words."""
-    texts = ["A a\tB\n\nc", "b c d É é", None, "", "  ", "c d e f", "İx a ß", "a b c d e f g h", "c d g h", "e f g h a"]
+    texts = ["A a\tB\n\nc", "b c d É é", None, "", "  ", "c d e f", "x a ß", "a b c d e f g h", "c d g h", "e f g h a"]
     rows = [(None if k % 11 == 7 else k % 23, texts[k % len(texts)]) for k in range(70)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     return str(folder)
@@ -155,3 +155,23 @@ def test_tf_idf_of_odd_documents_moves_texts_once(spark, tmp_path):
     expected = told.fetchall()
     assert len(expected) > 50 and sorted_rows(got.columns, got.collect()) == sorted_rows(names, expected)
     assert "hashpartitioning(doc_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_rules_of_odd_documents_count_no_pairs(spark, tmp_path):
+    import duckdb
+    from oracle import sorted_rows
+
+    from textloom.operators import text
+    from textloom.plans.queries import ORACLE, QUERIES
+
+    folder = odd_documents(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got, told = QUERIES["term_rules"](spark, folder), con.execute(ORACLE["term_rules"])
+    names = [x[0] for x in told.description]
+    expected = told.fetchall()
+    assert expected and sorted_rows(got.columns, got.collect()) == sorted_rows(names, expected)
+    assert "hashpartitioning(doc_id" not in got._jdf.queryExecution().executedPlan().toString()
+    many = [(["t"], [f"{k}", "t", "u"]) for k in range(50)]
+    held = list(text.shared_words(iter([text.pa.RecordBatch.from_pydict({"top": [m[0] for m in many], "tokens": [m[1] for m in many]})]), most=20))
+    assert sum(sum(b.column("n").to_pylist()) for b in held) == 50 and all({"t", "u"} <= set(x) for b in held for x in b.column("tokens").to_pylist())
