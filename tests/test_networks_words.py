@@ -1,4 +1,6 @@
 import numpy as np
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,22 @@ def test_term_rules_of_odd_documents_count_no_pairs(spark, tmp_path):
     many = [(["t"], [f"{k}", "t", "u"]) for k in range(50)]
     held = list(text.shared_words(iter([text.pa.RecordBatch.from_pydict({"top": [m[0] for m in many], "tokens": [m[1] for m in many]})]), most=20))
     assert sum(sum(b.column("n").to_pylist()) for b in held) == 50 and all({"t", "u"} <= set(x) for b in held for x in b.column("tokens").to_pylist())
+
+
+def test_factorizations_leave_no_tables_of_earlier_steps(spark, monkeypatch):
+    from textloom import shared
+
+    at = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].split("file:", 1)[-1].replace("///", "/")
+    made = []
+    keep = shared.written
+    monkeypatch.setattr(shared, "written", lambda df: made.append(keep(df)) or made[-1])
+    cells = spark.createDataFrame([("0", i, j, 1.0 + (i * j) % 5) for i in range(12) for j in range(9) if (i + j) % 3], "node string, i int, j int, v double")
+    few = {}
+    for most in (0, shared.MOST_BROADCAST):  # with and without sending h to the tasks
+        monkeypatch.setattr(shared, "MOST_BROADCAST", most)
+        w, h, error = factor.distributed_nmf(cells.drop("node"), 2, 4)
+        gw, gh = hierarchy.grouped_nmf(cells, 2, 4)
+        few[most] = [sorted((r[k], *(round(x, 6) for x in r[f])) for r in df.collect()) for df, k, f in ((w, "i", "w"), (h, "j", "h"), (gw, "i", "w"), (gh, "j", "h"))]
+        assert 0 < error < 1
+    assert few[0] == few[shared.MOST_BROADCAST]
+    assert len(made) >= 32 and sum(Path(at_).exists() for at_ in {at(df) for df in made if df.inputFiles()}) <= 8
